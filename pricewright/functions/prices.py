@@ -18,9 +18,16 @@ RANGE_PATTERN = (r"(?i)[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:through|–|-)\s*(?:" + CU
 COMPAT_RANGE_PATTERN = r"(?i)through|–|-"
 
 
+def round2(c) -> Column:
+    """Round a double to cents on its binary value (x*100, half away from
+    zero), as Python's round does for all but exact binary ties. Spark's
+    round(x, 2) rounds the shortest decimal text instead (2.675 -> 2.68)."""
+    return F.round(_col(c) * 100, 0) / 100
+
+
 def _to_money(s: Column) -> Column:
     """Guarded string -> double rounded to 2; anything unparsable -> null."""
-    return F.when(s.rlike(FLOAT_LITERAL), F.round(s.try_cast("double"), 2))
+    return F.when(s.rlike(FLOAT_LITERAL), round2(s.try_cast("double")))
 
 
 def finite_positive(c) -> Column:
@@ -54,7 +61,7 @@ def parse_price(c, compat: bool = False) -> Column:
 def parse_price_range(c) -> Column:
     """struct(low, high) over every number in the text; one -> both; none -> 0."""
     nums = F.regexp_extract_all(F.regexp_replace(_col(c), ",", ""), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)
-    vals = F.transform(nums, lambda x: F.round(x.try_cast("double"), 2))
+    vals = F.transform(nums, lambda x: round2(x.try_cast("double")))
     empty = F.size(vals) == 0
     return F.struct(
         F.when(empty, F.lit(0.0)).otherwise(F.array_min(vals)).alias("low"),

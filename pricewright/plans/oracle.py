@@ -179,7 +179,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = {}
+    q = oracle_more()
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -249,3 +249,201 @@ def oracle() -> dict:
           UNION ALL SELECT 'compatible_model', compatible_model FROM uniq
           UNION ALL SELECT 'part_brand', part_brand FROM uniq) WHERE value IS NOT NULL ORDER BY 1, 2""")
     return q
+
+
+# ---- scalar functions ----------------------------------------------------------
+
+from pricewright.functions.prices import COMPAT_RANGE_PATTERN, RANGE_PATTERN  # noqa: E402
+
+TEXTS = LISTINGS.replace("l_linenumber AS _lin, l_discount AS _disc", """l_linenumber AS _lin, l_discount AS _disc,
+  CASE l_linenumber % 4
+    WHEN 0 THEN concat('Rs ', format('{:,.2f}', l_extendedprice))
+    WHEN 1 THEN concat('Rs. ', format('{:,.2f}', l_extendedprice))
+    WHEN 2 THEN concat('Rs ', format('{:,.2f}', l_extendedprice), ' through Rs ',
+                       format('{:,.2f}', round(l_extendedprice / (1 - l_discount), 2)))
+    ELSE concat('Rs ', format('{:,.2f}', l_extendedprice), ' -', CAST(round(l_discount * 100) AS BIGINT), '%') END AS price_text,
+  CASE WHEN l_discount >= 0.05 THEN concat('Rs ', format('{:,.2f}', round(l_extendedprice / (1 - l_discount), 2))) END AS del_text,
+  CASE WHEN l_discount >= 0.05 THEN concat('Rs ', format('{:,.2f}', l_extendedprice)) END AS ins_text""")
+EXTRA_CTES["texts"] = TEXTS
+
+NUM = "[0-9][0-9,]*(?:\\.[0-9]+)?"
+
+
+def money(s):
+    return f"(CASE WHEN regexp_matches({s}, '{FLOAT_LITERAL}') THEN round(TRY_CAST({s} AS DOUBLE), 2) END)"
+
+
+def pprice(t, compat=False):
+    if compat:
+        digits = f"regexp_replace(replace({t}, ',', ''), '[^0-9.]', '', 'g')"
+        return f"coalesce({money(digits)}, 0.0)"
+    mark = f"regexp_extract({t}, '(?i)(?:rs\\.?|pkr|₨)\\s*({NUM})', 1)"
+    first = f"regexp_extract({t}, '({NUM})', 1)"
+    num = f"replace(CASE WHEN {mark} <> '' THEN {mark} ELSE {first} END, ',', '')"
+    return f"coalesce({money(num)}, 0.0)"
+
+
+def prange(t):
+    vals = f"list_transform(regexp_extract_all(replace({t}, ',', ''), '[0-9]+(?:\\.[0-9]+)?', 0), lambda x: round(CAST(x AS DOUBLE), 2))"
+    return (f"CASE WHEN len({vals}) = 0 THEN 0.0 ELSE list_min({vals}) END",
+            f"CASE WHEN len({vals}) = 0 THEN 0.0 ELSE list_max({vals}) END")
+
+
+def ptext(t, d, i, compat=False):
+    pat = COMPAT_RANGE_PATTERN if compat else RANGE_PATTERN
+    t = f"coalesce({t}, '')"
+    lo, hi = prange(t)
+    single = pprice(t, compat)
+    is_range = f"regexp_matches({t}, '{pat}')"
+    pair = f"({d} IS NOT NULL AND {i} IS NOT NULL)"
+    low = f"(CASE WHEN {is_range} THEN {lo} WHEN {pair} THEN {pprice(i, compat)} ELSE {single} END)"
+    high = f"(CASE WHEN {is_range} THEN {hi} WHEN {pair} THEN {pprice(d, compat)} ELSE {single} END)"
+    return low, f"(CASE WHEN {high} <> {low} THEN {high} ELSE 0.0 END)"
+
+
+WSC = ("[\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}"
+       "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+
+
+def jtruthy(x):
+    return (f"(CASE json_type({x}) WHEN 'VARCHAR' THEN json_extract_string({x}, '$') <> '' "
+            f"WHEN 'BIGINT' THEN CAST(json_extract_string({x}, '$') AS DOUBLE) <> 0 "
+            f"WHEN 'UBIGINT' THEN CAST(json_extract_string({x}, '$') AS DOUBLE) <> 0 "
+            f"WHEN 'DOUBLE' THEN CAST(json_extract_string({x}, '$') AS DOUBLE) <> 0 "
+            f"WHEN 'BOOLEAN' THEN json_extract_string({x}, '$') = 'true' "
+            f"WHEN 'OBJECT' THEN CAST({x} AS VARCHAR) <> '{{}}' "
+            f"WHEN 'ARRAY' THEN json_array_length({x}) > 0 ELSE false END)")
+
+
+def jfloat(x):
+    s = wtrim(f"json_extract_string({x}, '$')")
+    return (f"(CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string({x}, '$') AS DOUBLE) "
+            f"WHEN json_type({x}) = 'BOOLEAN' THEN CASE WHEN json_extract_string({x}, '$') = 'true' THEN 1.0 ELSE 0.0 END "
+            f"WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({s}, '{FLOAT_LITERAL}') THEN TRY_CAST({s} AS DOUBLE) END)")
+
+
+def offer_sql(js):
+    """-> (price, original) SQL over a JSON text column (nested subqueries via CTE)."""
+    return js
+
+
+CATS = """SELECT DISTINCT split_part(p_name, ' ', 2) AS slug,
+  upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lower(substr(split_part(p_name, ' ', 2), 2)) AS name FROM part"""
+EXTRA_CTES["cats"] = CATS
+
+CRAWL = """SELECT page_id, category_slug, url, html,
+  row_number() OVER (PARTITION BY category_slug ORDER BY path_id NULLS FIRST, page_id) AS page_no,
+  CASE WHEN ends_with(url, '#top') THEN 404 ELSE 200 END AS status,
+  CASE WHEN html IS NULL THEN 0 ELSE (length(html) - length(replace(html, '<li', ''))) // 3 END AS n_cards
+FROM (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS category_slug,
+             TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS path_id FROM pages)"""
+EXTRA_CTES["crawl"] = CRAWL
+
+DETAILS = """SELECT concat('https://shop.example/shop/', p_partkey, '-', k) AS product_url,
+  CASE WHEN (p_partkey + k) % 7 = 0 THEN 404 ELSE 200 END AS status,
+  CASE WHEN (p_partkey + k) % 3 <> 0 THEN p_retailprice ELSE 0.0 END AS price,
+  CASE WHEN p_size > 25 THEN round(p_retailprice * 1.1, 2) ELSE 0.0 END AS original_price,
+  p_size % 5 <> 0 AS available,
+  CASE WHEN k = 0 THEN concat('Detail ', p_name) ELSE '' END AS description
+FROM part, range(4) t(k)"""
+EXTRA_CTES["details"] = DETAILS
+
+REPAIRED = f"""
+SELECT c.*, d.product_url AS d_url, d.status AS d_status, d.price AS d_price, d.original_price AS d_orig,
+  d.available AS d_avail, d.description AS d_desc,
+  (c.price_pkr IS NULL OR c.price_pkr <= 0) AND coalesce(c.product_url, '') <> '' AS visit
+FROM cleaned c LEFT JOIN details d ON c.product_url = d.product_url
+  AND (c.price_pkr IS NULL OR c.price_pkr <= 0) AND coalesce(c.product_url, '') <> ''
+"""
+EXTRA_CTES["rj"] = REPAIRED
+EXTRA_CTES["repaired"] = """
+SELECT *, visit AND NOT fetched AS gone, fetched AND d_price > 0 AS fixed,
+  fetched AND NOT coalesce(d_avail, true) AS oos FROM (
+  SELECT *, visit AND d_url IS NOT NULL AND coalesce(d_status, 200) <> 404 AS fetched FROM rj)"""
+
+
+def oracle_more() -> dict:
+    q = {}
+    q["parse_price"] = with_("texts", body=f"""
+        SELECT {ORD}, price_text, {pprice('price_text')} AS price, {pprice('price_text', True)} AS price_compat FROM texts""")
+    lo, hi = prange("price_text")
+    q["parse_price_range"] = with_("texts", body=f"SELECT {ORD}, {lo} AS low, {hi} AS high FROM texts")
+    a, b = ptext("price_text", "del_text", "ins_text")
+    c, d = ptext("price_text", "del_text", "ins_text", True)
+    q["price_text_rule"] = with_("texts", body=f"""
+        SELECT {ORD}, {a} AS price, {b} AS original, {c} AS price_compat, {d} AS original_compat FROM texts""")
+    found = ("list_filter(list_transform(regexp_extract_all(concat_ws(' ', description, price_text), "
+             "'(?:Rs\\.?\\s*|₨\\s*)([0-9,]+(?:\\.[0-9]+)?)', 1), lambda x: " + pprice("x", True) + "), lambda v: v > 0)")
+    q["currency_search"] = with_("texts", body=f"SELECT {ORD}, coalesce({found}[1], 0.0) AS price FROM texts")
+    h = wtrim("CASE WHEN l_linenumber % 2 = 0 THEN concat(' /shop/', l_partkey, '/ ') ELSE product_url END")
+    q["absolute_url"] = with_("listings", body=f"""
+        SELECT {ORD}, CASE WHEN starts_with({h}, 'http') THEN {h} ELSE concat('https://shop.example', {h}) END AS product_url
+        FROM listings""")
+    q["log_target"] = with_(*PIPE, body=f"""
+        SELECT {ORD}, round(ln(1 + price_pkr), 6) AS y,
+          round(greatest(exp(ln(1 + price_pkr) - 1.0) - 1, 0.0), 4) AS back FROM uniq""")
+    tok = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_]+', 0)"
+    q["tokens"] = f"""SELECT doc_id, CAST(len({tok}) AS BIGINT) AS n_tokens,
+        CAST(coalesce(list_sum(list_transform({tok}, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM documents"""
+    fenced = ("CASE WHEN turn % 3 = 0 THEN concat('```json' || chr(10), text, chr(10) || '```') "
+              "WHEN turn % 3 = 1 THEN concat('  ```', text, '``` ') ELSE text END")
+    t = wtrim(fenced)
+    sf = (f"CASE WHEN starts_with({t}, '```') THEN regexp_replace(regexp_replace({t}, '^```(?:json)?{WSC}*', ''), "
+          f"'{WSC}*```$', '') ELSE {t} END")
+    q["strip_fence"] = f"""SELECT conv_id, turn, CAST(length({sf}) AS BIGINT) AS n_chars, substr({sf}, 1, 40) AS head
+        FROM conversations"""
+    js = f"""CASE l_linenumber % 4
+        WHEN 0 THEN concat('{{"offers": {{"price": "', CAST(l_extendedprice AS VARCHAR), '", "highPrice": "',
+                           CAST(round(l_extendedprice * 1.1, 2) AS VARCHAR), '"}}}}')
+        WHEN 1 THEN concat('{{"offers": [{{"lowPrice": ', CAST(l_extendedprice AS VARCHAR), '}}]}}')
+        WHEN 2 THEN concat('{{"Offers": {{"price": "', CAST(l_extendedprice AS VARCHAR), '"}}}}')
+        ELSE '{{"offers": {{"price": "call us"}}}}' END"""
+    q["offer_price"] = with_("listings", body=f"""
+        SELECT {ORD}, coalesce(price, 0.0) AS price,
+               coalesce(CASE WHEN price IS NOT NULL AND {jtruthy('hp')} THEN {jfloat('hp')} END, 0.0) AS original
+        FROM (SELECT *, CASE WHEN json_type(j) = 'OBJECT' AND json_type(node) = 'OBJECT' AND {jtruthy('p')}
+                             THEN {jfloat('p')} END AS price, json_extract(node, '$.highPrice') AS hp
+          FROM (SELECT *, CASE WHEN {jtruthy("json_extract(node, '$.price')")} THEN json_extract(node, '$.price')
+                               ELSE json_extract(node, '$.lowPrice') END AS p
+            FROM (SELECT *, CASE WHEN json_type(offers) = 'ARRAY' THEN json_extract(offers, '$[0]') ELSE offers END AS node
+              FROM (SELECT *, CASE WHEN {jtruthy("json_extract(j, '$.offers')")} THEN json_extract(j, '$.offers')
+                                   ELSE json_extract(j, '$.Offers') END AS offers
+                FROM (SELECT {ORD}, CASE WHEN json_valid(js) THEN CAST(js AS JSON) END AS j
+                  FROM (SELECT *, {js} AS js FROM listings))))))""")
+    pred = "price_pkr * 0.9"
+    q["price_band"] = with_(*PIPE, body=f"""
+        SELECT {ORD}, round_even({pred}, 0) AS predicted_price_pkr,
+          round_even(greatest({pred} - 1.5 * 1222.0, 0.0), 0) AS confidence_range_low,
+          round_even({pred} + 1.5 * 1222.0, 0) AS confidence_range_high FROM uniq""")
+    q["category_filter"] = with_("cats", body="""
+        SELECT * FROM cats WHERE contains(slug, 'al') OR contains(slug, 'ro') OR contains(slug, 'blu')""")
+    q["category_names"] = with_("listings", "cleaned", "cats", body=f"""
+        SELECT {ORD}, scraped_category AS category_slug, name AS scraped_category
+        FROM cleaned JOIN cats ON cats.slug = cleaned.scraped_category
+        WHERE contains(cats.slug, 'a') OR contains(cats.slug, 'e')""")
+    q["resume_pending"] = with_("cats", body="SELECT * FROM cats WHERE NOT contains(slug, 'o')")
+    q["page_prefix"] = with_("crawl", body="""
+        SELECT page_id, category_slug, page_no, status, n_cards FROM crawl c
+        WHERE page_no <= 60 AND page_no < coalesce((SELECT min(page_no) FROM crawl b
+          WHERE b.category_slug = c.category_slug AND b.page_no <= 60
+            AND (b.status = 404 OR b.html IS NULL OR b.n_cards = 0)), 1000000)""")
+    q["page_url"] = with_("crawl", body="""
+        SELECT page_id, CASE WHEN page_no = 1 THEN concat('https://shop.example/category/', category_slug, '/')
+          ELSE concat('https://shop.example/category/', category_slug, '/page/', page_no, '/') END AS page_url FROM crawl""")
+    q["repair_prices"] = with_("listings", "cleaned", "details", "rj", "repaired", body=f"""
+        SELECT {ORD},
+          CASE WHEN fixed THEN d_price ELSE price_pkr END AS price_pkr,
+          CASE WHEN fixed AND d_orig > 0 THEN d_orig ELSE price_original_pkr END AS price_original_pkr,
+          CASE WHEN gone OR oos THEN false ELSE available END AS available,
+          CASE WHEN fetched AND coalesce(description, '') = '' AND coalesce(d_desc, '') <> '' THEN d_desc
+               ELSE description END AS description,
+          CASE WHEN gone THEN '404_or_error' END AS _status
+        FROM repaired""")
+    q["repair_counters"] = with_("listings", "cleaned", "details", "rj", "repaired", body="""
+        SELECT count(*) FILTER (WHERE visit) AS visited, count(*) FILTER (WHERE fixed) AS fixed,
+          count(*) FILTER (WHERE oos) AS marked_out_of_stock, count(*) FILTER (WHERE gone) AS gone,
+          count(*) FILTER (WHERE p IS NULL OR p <= 0) AS still_zero,
+          count(*) FILTER (WHERE (p IS NULL OR p <= 0) AND NOT coalesce(a, true)) AS dropped
+        FROM (SELECT *, CASE WHEN fixed THEN d_price ELSE price_pkr END AS p,
+                        CASE WHEN gone OR oos THEN false ELSE available END AS a FROM repaired)""")
+    return q

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import (clean_price, clean_str, clean_year, needs_enrichment,
                                    needs_make, ws_trim)
+from pricewright.functions.prices import round2
 from pricewright.operators import clean as C
 from pricewright.operators import dedupe as DD
 from pricewright.operators import stats as ST
@@ -155,4 +156,184 @@ def known_values(spark, d):
     return ST.known_values(B.unique(spark, d))
 
 
+
+
+# ---- scalar functions over the whole listing table -----------------------
+
+def _texts(spark, d):
+    return B.raw(spark, d, text=True)
+
+
+@query
+def parse_price(spark, d):
+    from pricewright.functions import parse_price as pp
+    r = _texts(spark, d)
+    return r.select(*ORD_COLS, "price_text", pp("price_text").alias("price"),
+                    pp("price_text", compat=True).alias("price_compat"))
+
+
+@query
+def parse_price_range(spark, d):
+    from pricewright.functions import parse_price_range as ppr
+    r = _texts(spark, d).withColumn("_r", ppr("price_text"))
+    return r.select(*ORD_COLS, F.col("_r.low").alias("low"), F.col("_r.high").alias("high"))
+
+
+@query
+def price_text_rule(spark, d):
+    from pricewright.functions import price_text_rule as ptr
+    r = (_texts(spark, d).withColumn("_d", ptr("price_text", "del_text", "ins_text"))
+         .withColumn("_c", ptr("price_text", "del_text", "ins_text", compat=True)))
+    return r.select(*ORD_COLS, F.col("_d.price").alias("price"), F.col("_d.original").alias("original"),
+                    F.col("_c.price").alias("price_compat"), F.col("_c.original").alias("original_compat"))
+
+
+@query
+def currency_search(spark, d):
+    from pricewright.functions import currency_search as cs
+    r = _texts(spark, d)
+    return r.select(*ORD_COLS, cs(F.concat_ws(" ", "description", "price_text")).alias("price"))
+
+
+@query
+def absolute_url(spark, d):
+    from pricewright.functions import absolute_url as au
+    r = B.raw(spark, d)
+    href = F.when(F.col("l_linenumber") % 2 == 0,
+                  F.concat(F.lit(" /shop/"), F.col("l_partkey").cast("string"), F.lit("/ "))) \
+            .otherwise(F.col("product_url"))
+    return r.select(*ORD_COLS, au(href, F.lit("https://shop.example")).alias("product_url"))
+
+
+@query
+def log_target(spark, d):
+    from pricewright.functions import inverse_target, log_target as lt
+    u = B.flat(B.unique(spark, d))
+    return u.select(*ORD_COLS, F.round(lt("price_pkr"), 6).alias("y"),
+                    F.round(inverse_target(lt("price_pkr") - F.lit(1.0)), 4).alias("back"))
+
+
+@query
+def tokens(spark, d):
+    from pricewright.functions import name_tokens
+    from pricewright.sources.listings import read_table, spread
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    t = docs.select("doc_id", name_tokens("text").alias("tok"))
+    return t.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
+                    F.aggregate("tok", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query
+def strip_fence(spark, d):
+    from pricewright.functions import strip_fence as sf
+    from pricewright.sources.listings import read_table
+    conv = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))) \
+              .when(F.col("turn") % 3 == 1, F.concat(F.lit("  ```"), "text", F.lit("``` "))) \
+              .otherwise(F.col("text"))
+    return conv.select("conv_id", "turn", F.length(sf(fenced)).cast("bigint").alias("n_chars"),
+                       F.substring(sf(fenced), 1, 40).alias("head"))
+
+
+@query
+def offer_price(spark, d):
+    from pricewright.functions.jsonval import with_offer_price
+    r = B.raw(spark, d, text=True)
+    p = F.col("l_extendedprice").cast("string")
+    hi = round2(F.col("l_extendedprice") * 1.1).cast("string")
+    style = F.col("l_linenumber") % 4
+    js = (F.when(style == 0, F.concat(F.lit('{"offers": {"price": "'), p, F.lit('", "highPrice": "'), hi, F.lit('"}}')))
+          .when(style == 1, F.concat(F.lit('{"offers": [{"lowPrice": '), p, F.lit('}]}')))
+          .when(style == 2, F.concat(F.lit('{"Offers": {"price": "'), p, F.lit('"}}')))
+          .otherwise(F.lit('{"offers": {"price": "call us"}}')))
+    o = with_offer_price(r.select(*ORD_COLS, js.alias("js")), "js", "_o")
+    return o.select(*ORD_COLS, F.col("_o.price").alias("price"), F.col("_o.original").alias("original"))
+
+
+@query
+def price_band(spark, d):
+    from pricewright.functions import price_band as pb
+    u = B.flat(B.unique(spark, d))
+    return u.select(*ORD_COLS, pb(F.col("price_pkr") * 0.9, F.lit(1222.0)).alias("b")).select(*ORD_COLS, "b.*")
+
+
+# ---- crawl bookkeeping -----------------------------------------------------
+
+def _category_table(spark, d):
+    """Category dimension derived from the data: one slug per part colour word,
+    display name in title case."""
+    from pricewright.sources.listings import read_table
+    part = read_table(spark, d, "part")
+    slug = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    return part.select(slug.alias("slug")).distinct().withColumn("name", F.initcap("slug"))
+
+
+@query
+def category_filter(spark, d):
+    return C.category_filter(_category_table(spark, d), ["al", "ro", "blu"])
+
+
+@query
+def category_names(spark, d):
+    from pricewright.operators.crawl import category_names as cn
+    r = B.cleaned(spark, d).withColumn("category_slug", F.col("scraped_category"))
+    cats = C.category_filter(_category_table(spark, d), ["a", "e"])
+    return B.flat(cn(r.drop("alternatives"), cats)).select(*ORD_COLS, "category_slug", "scraped_category")
+
+
+@query
+def resume_pending(spark, d):
+    from pricewright.operators.crawl import resume_pending as rp
+    cats = _category_table(spark, d)
+    done = C.category_filter(cats, ["o"]).select("slug")
+    return rp(cats, done)
+
+
+@query
+def page_prefix(spark, d):
+    from pricewright.operators.crawl import page_prefix as pp
+    from pricewright.sources.pages import crawl_pages
+    return pp(crawl_pages(spark, d)).select("page_id", "category_slug", "page_no", "status", "n_cards")
+
+
+@query
+def page_url(spark, d):
+    from pricewright.functions import page_url as pu
+    from pricewright.sources.pages import crawl_pages
+    p = crawl_pages(spark, d)
+    return p.select("page_id", pu(F.lit("https://shop.example"), "category_slug", "page_no").alias("page_url"))
+
+
+# ---- price repair ------------------------------------------------------------
+
+def detail_table(spark, d):
+    """What each product page says, derived from ``part``: four shop URLs per
+    part (one per supplier slot), some gone, some unpriced, some out of stock."""
+    from pricewright.sources.listings import read_table
+    part = read_table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    x = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    h = F.col("p_partkey") + F.col("k")
+    return x.select(
+        F.concat(F.lit("https://shop.example/shop/"), F.col("p_partkey").cast("string"), F.lit("-"),
+                 F.col("k").cast("string")).alias("product_url"),
+        F.when(h % 7 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(h % 3 != 0, F.col("p_retailprice")).otherwise(F.lit(0.0)).alias("price"),
+        F.when(F.col("p_size") > 25, round2(F.col("p_retailprice") * 1.1)).otherwise(F.lit(0.0)).alias("original_price"),
+        (F.col("p_size") % 5 != 0).alias("available"),
+        F.when(F.col("k") == 0, F.concat(F.lit("Detail "), F.col("p_name"))).otherwise(F.lit("")).alias("description"))
+
+
+@query
+def repair_prices(spark, d):
+    from pricewright.operators.repair import repair_prices as rp
+    rep = rp(B.cleaned(spark, d).drop("alternatives"), detail_table(spark, d))
+    return B.flat(rep).select(*ORD_COLS, "price_pkr", "price_original_pkr", "available", "description", "_status")
+
+
+@query
+def repair_counters(spark, d):
+    from pricewright.operators.repair import repair_counters as rc, repair_prices as rp
+    return rc(rp(B.cleaned(spark, d).drop("alternatives"), detail_table(spark, d)))
+
+
 REGISTRY["needs_enrichment"] = REGISTRY.pop("needs_enrichment_q")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.functions.prices import round2
+
 ORD_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -69,7 +71,7 @@ def listings(spark: SparkSession, sf_dir: str, with_price_text: bool = False) ->
          .otherwise(F.year("l_shipdate").cast("string")).alias("year_to"),
         F.when(F.col("l_tax") == 0, F.lit("0"))
          .otherwise(F.col("l_extendedprice").cast("string")).alias("price_pkr"),
-        F.when(F.col("l_discount") >= 0.05, F.round(F.col("l_extendedprice") / (1 - F.col("l_discount")), 2))
+        F.when(F.col("l_discount") >= 0.05, round2(F.col("l_extendedprice") / (1 - F.col("l_discount"))))
          .otherwise(F.lit(0.0)).alias("price_original_pkr"),
         F.when(F.col("l_returnflag") == "A", F.lit("")).when(F.col("l_returnflag") == "N", F.lit("New"))
          .otherwise(F.lit("Used")).alias("condition"),
@@ -95,7 +97,7 @@ def price_text_columns():
     'Rs 1,700', 'Rs. 35,000', a 'through' range and a '-15%' badge, plus a
     del/ins sale pair for discounted rows."""
     p = F.col("l_extendedprice")
-    hi = F.round(p / (1 - F.col("l_discount")), 2)
+    hi = round2(p / (1 - F.col("l_discount")))
     pct = F.round(F.col("l_discount") * 100).cast("bigint").cast("string")
     style = F.col("l_linenumber") % 4
     text = (F.when(style == 0, F.concat(F.lit("Rs "), _fmt(p)))
