@@ -179,7 +179,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = oracle_more()
+    q = {**oracle_more(), **oracle_features()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -447,3 +447,123 @@ def oracle_more() -> dict:
         FROM (SELECT *, CASE WHEN fixed THEN d_price ELSE price_pkr END AS p,
                         CASE WHEN gone OR oos THEN false ELSE available END AS a FROM repaired)""")
     return q
+
+
+# ---- features ------------------------------------------------------------------
+
+from pricewright.schemas import NA_TOKENS  # noqa: E402
+
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+
+
+def na(c):
+    return f"CASE WHEN {c} IN ({_NA}) OR {c} = '' THEN NULL ELSE {c} END AS {c}"
+
+
+EXTRA_CTES["fv"] = f"""SELECT {ORD}, {na('part_name')}, {na('part_type')}, {na('part_brand')},
+  {na('scraped_category')}, {na('compatible_make')}, {na('compatible_model')}, year_from, year_to, price_pkr,
+  price_original_pkr, {na('condition')}, alternatives_count FROM final"""
+EXTRA_CTES["pos"] = "SELECT * FROM fv WHERE price_pkr > 0 AND NOT isnan(price_pkr)"
+EXTRA_CTES["trimmed"] = """SELECT * FROM pos WHERE price_pkr BETWEEN
+  (SELECT quantile_cont(price_pkr, 0.01) FROM pos) AND (SELECT quantile_cont(price_pkr, 0.99) FROM pos)"""
+FILLED = f"""SELECT {ORD}, coalesce(part_name, '') AS part_name,
+  coalesce(part_type, 'Unknown') AS part_type, coalesce(part_brand, 'Unknown') AS part_brand,
+  coalesce(scraped_category, 'Unknown') AS scraped_category, coalesce(compatible_make, 'Unknown') AS compatible_make,
+  coalesce(compatible_model, 'Unknown') AS compatible_model, coalesce(condition, 'Unknown') AS condition,
+  CAST(coalesce(year_from, 0) AS INTEGER) AS year_from, CAST(coalesce(year_to, 0) AS INTEGER) AS year_to,
+  coalesce(price_original_pkr, 0.0) AS price_original_pkr, CAST(coalesce(alternatives_count, 0) AS INTEGER) AS alternatives_count,
+  price_pkr FROM {{src}}"""
+EXTRA_CTES["filled_pos"] = FILLED.format(src="pos")
+SPW = SP
+EXTRA_CTES["prep"] = f"""SELECT *, greatest(year_to - year_from, 0) AS year_span,
+  CAST(year_from > 0 OR year_to > 0 AS INTEGER) AS has_year,
+  CAST(lower(compatible_make) = 'universal' AS INTEGER) AS is_universal,
+  CAST(price_original_pkr > 0 AS INTEGER) AS has_discount,
+  CAST(len(list_filter(string_split(translate(part_name, '{WS_CHARS}', '{SPW}'), ' '), lambda x: x <> '')) AS INTEGER) AS name_word_count
+FROM ({FILLED.format(src='trimmed')})"""
+FEAT_PIPE = PIPE + ("keyed", "pairs", "final", "fv", "pos", "trimmed", "prep")
+
+
+def _unpivot(src, cols, extra=""):
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value{extra} FROM {src}"
+                              for c in cols)
+
+
+FREQ = ["compatible_make", "compatible_model", "part_brand", "scraped_category"]
+MEANS = ["scraped_category", "compatible_make"]
+ORDS = ["part_brand", "scraped_category", "compatible_make", "compatible_model", "condition", "part_type"]
+
+
+def freq_sql(src):
+    return f"""SELECT "column", value, count(*) / (SELECT count(*) FROM {src}) AS freq
+        FROM ({_unpivot(src, FREQ)}) GROUP BY ALL"""
+
+
+def mean_sql(src):
+    return f"""SELECT "column", value, avg(y) AS mean_price FROM ({_unpivot(src, MEANS, ', price_pkr AS y')}) GROUP BY ALL
+        UNION ALL SELECT '*', NULL, avg(price_pkr) FROM {src}"""
+
+
+def ord_sql(src):
+    return f"""SELECT "column", value, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY value COLLATE "C") - 1 AS DOUBLE) AS code
+        FROM (SELECT DISTINCT * FROM ({_unpivot(src, ORDS)}) WHERE value IS NOT NULL)"""
+
+
+def encode_sql(src, fm, mm, om=None):
+    sel = [f"coalesce((SELECT freq FROM {fm} m WHERE m.\"column\" = '{c}' AND m.value = s.{c}), 0.0) AS {c}_freq"
+           for c in FREQ]
+    sel += [f"ln(1 + coalesce((SELECT mean_price FROM {mm} m WHERE m.\"column\" = '{c}' AND m.value = s.{c}), "
+            f"(SELECT mean_price FROM {mm} WHERE \"column\" = '*'))) AS {c}_price_mean" for c in MEANS]
+    if om:
+        sel += [f"coalesce((SELECT code FROM {om} m WHERE m.\"column\" = '{c}' AND m.value = s.{c}), -1.0) AS {c}_code"
+                for c in ORDS]
+    return f"SELECT s.*, {', '.join(sel)} FROM {src} s"
+
+
+def _hash_split():
+    key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in ORD.split(", ")) + ")"
+    return (f"CASE WHEN CAST(('0x' || substr(md5(concat('42:', {key})), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 "
+            "THEN 'test' ELSE 'train' END")
+
+
+EXTRA_CTES["sp"] = f"SELECT *, {_hash_split()} AS split FROM prep"
+EXTRA_CTES["tr"] = "SELECT * FROM sp WHERE split = 'train'"
+EXTRA_CTES["fm_all"] = freq_sql("prep")
+EXTRA_CTES["mm_all"] = mean_sql("prep")
+EXTRA_CTES["om_all"] = ord_sql("prep")
+EXTRA_CTES["fm_tr"] = freq_sql("tr")
+EXTRA_CTES["mm_tr"] = mean_sql("tr")
+EXTRA_CTES["om_tr"] = ord_sql("tr")
+ENG = ["year_span", "has_year", "is_universal", "has_discount", "name_word_count",
+       "compatible_make_freq", "compatible_model_freq", "part_brand_freq", "scraped_category_freq",
+       "scraped_category_price_mean", "compatible_make_price_mean"]
+
+
+def oracle_features() -> dict:
+    q = {}
+    q["trim_outliers"] = with_(*FEAT_PIPE[:-1], body=f"SELECT {ORD}, price_pkr FROM trimmed")
+    q["fill_missing"] = with_(*FEAT_PIPE[:-2], "filled_pos", body=f"""SELECT {ORD}, part_brand, scraped_category,
+        compatible_make, compatible_model, condition, part_type, year_from, year_to, price_original_pkr,
+        alternatives_count FROM filled_pos""")
+    q["engineered_features"] = with_(*FEAT_PIPE, body=f"""SELECT {ORD}, year_span, has_year, is_universal,
+        has_discount, name_word_count FROM prep""")
+    q["frequency_maps"] = with_(*FEAT_PIPE, "fm_all", body="SELECT * FROM fm_all")
+    q["price_mean_maps"] = with_(*FEAT_PIPE, "mm_all", body="SELECT * FROM mm_all")
+    q["lookup_encode"] = with_(*FEAT_PIPE, "fm_all", "mm_all", body=f"""SELECT {ORD},
+        {', '.join(c + '_freq' for c in FREQ)}, {', '.join(c + '_price_mean' for c in MEANS)}
+        FROM ({encode_sql('prep', 'fm_all', 'mm_all')})""")
+    q["group_mean_transform"] = with_(*FEAT_PIPE, body=f"""SELECT {ORD},
+        avg(price_pkr) OVER (PARTITION BY scraped_category) AS category_mean FROM prep""")
+    q["ordinal_encode"] = with_(*FEAT_PIPE, "fm_all", "mm_all", "om_all", body=f"""SELECT {ORD}, {', '.join(c + '_code' for c in ORDS)}
+        FROM ({encode_sql('prep', 'fm_all', 'mm_all', 'om_all')})""")
+    q["split_assign"] = with_(*FEAT_PIPE, "sp", body=f"SELECT {ORD}, split FROM sp")
+    q["features"] = with_(*FEAT_PIPE, "sp", "tr", "fm_tr", "mm_tr", "om_tr", body=f"""SELECT {ORD}, split, price_pkr,
+        {', '.join(c + '_code' for c in ORDS)}, year_from, year_to, price_original_pkr, alternatives_count,
+        {', '.join(ENG)} FROM ({encode_sql('sp', 'fm_tr', 'mm_tr', 'om_tr')})""")
+    q["serving_features"] = with_(*FEAT_PIPE, "sp", "tr", "fm_tr", "mm_tr", "om_tr", body=f"""SELECT {ORD},
+        {', '.join(c + '_code' for c in ORDS)}, {', '.join(ENG[5:])}
+        FROM ({encode_sql("(SELECT * FROM sp WHERE split = 'test')", 'fm_tr', 'mm_tr', 'om_tr')})""")
+    q["price_stats"] = with_(*FEAT_PIPE, body="""SELECT round(avg(price_pkr), 2) AS mean,
+        round(quantile_cont(price_pkr, 0.5), 2) AS median, round(min(price_pkr), 2) AS min,
+        round(max(price_pkr), 2) AS max, round(stddev_samp(price_pkr), 2) AS std FROM prep""")
+    return q

@@ -337,3 +337,104 @@ def repair_counters(spark, d):
 
 
 REGISTRY["needs_enrichment"] = REGISTRY.pop("needs_enrichment_q")
+
+
+# ---- features ------------------------------------------------------------------
+
+def _train_view(spark, d):
+    from pricewright.operators.features import training_view
+    return training_view(B.flat(B.final_flatten(B.final(spark, d))))
+
+
+def _split_key():
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in ORD_COLS])
+
+
+def _prepared(spark, d):
+    from pricewright.operators.features import prepare
+    return prepare(_train_view(spark, d))
+
+
+@query
+def trim_outliers(spark, d):
+    from pricewright.operators.features import positive_price, trim_outliers as to
+    return to(positive_price(_train_view(spark, d))).select(*ORD_COLS, "price_pkr")
+
+
+@query
+def fill_missing(spark, d):
+    from pricewright.operators.features import fill_missing as fm, positive_price
+    out = fm(positive_price(_train_view(spark, d)))
+    return out.select(*ORD_COLS, "part_brand", "scraped_category", "compatible_make", "compatible_model",
+                      "condition", "part_type", "year_from", "year_to", "price_original_pkr", "alternatives_count")
+
+
+@query
+def engineered_features(spark, d):
+    return _prepared(spark, d).select(*ORD_COLS, "year_span", "has_year", "is_universal", "has_discount",
+                                      "name_word_count")
+
+
+@query
+def frequency_maps(spark, d):
+    from pricewright.operators.features import frequency_maps as fm
+    return fm(_prepared(spark, d))
+
+
+@query
+def price_mean_maps(spark, d):
+    from pricewright.operators.features import price_mean_maps as pm
+    return pm(_prepared(spark, d))
+
+
+@query
+def lookup_encode(spark, d):
+    from pricewright.operators.features import (FREQ_COLS, MEAN_COLS, frequency_maps as fm,
+                                                lookup_encode as le, price_mean_maps as pm)
+    p = _prepared(spark, d)
+    out = le(p, fm(p), pm(p))
+    return out.select(*ORD_COLS, *[f"{c}_freq" for c in FREQ_COLS], *[f"{c}_price_mean" for c in MEAN_COLS])
+
+
+@query
+def group_mean_transform(spark, d):
+    from pricewright.operators.features import group_mean_transform as gm
+    return gm(_prepared(spark, d), "scraped_category", out="category_mean").select(*ORD_COLS, "category_mean")
+
+
+@query
+def ordinal_encode(spark, d):
+    from pricewright.operators.features import ORDINAL_COLS, ordinal_encode as oe, ordinal_maps
+    p = _prepared(spark, d)
+    return oe(p, ordinal_maps(p)).select(*ORD_COLS, *[f"{c}_code" for c in ORDINAL_COLS])
+
+
+@query
+def split_assign(spark, d):
+    from pricewright.operators.features import split_assign as sa
+    return sa(_prepared(spark, d), _split_key()).select(*ORD_COLS, "split")
+
+
+@query
+def features(spark, d):
+    from pricewright.operators.features import ENG_FEATURES, NUM_FEATURES, ORDINAL_COLS, features as fe
+    enc, _ = fe(_train_view(spark, d), key=_split_key(), fit_on="train")
+    return enc.select(*ORD_COLS, "split", "price_pkr", *[f"{c}_code" for c in ORDINAL_COLS],
+                      *NUM_FEATURES, *ENG_FEATURES)
+
+
+@query
+def serving_features(spark, d):
+    """Test rows encoded with maps fitted on training rows only: values never
+    seen in training fall back to the defaults (-1 / 0 / global mean)."""
+    from pricewright.operators.features import (ENG_FEATURES, ORDINAL_COLS, fit_maps, lookup_encode as le,
+                                                ordinal_encode as oe, split_assign as sa)
+    p = sa(_prepared(spark, d), _split_key())
+    maps = fit_maps(p.filter(F.col("split") == "train"))
+    t = oe(le(p.filter(F.col("split") == "test"), maps["freq"], maps["means"]), maps["codes"])
+    return t.select(*ORD_COLS, *[f"{c}_code" for c in ORDINAL_COLS], *ENG_FEATURES[5:])
+
+
+@query
+def price_stats(spark, d):
+    return ST.price_stats(_prepared(spark, d))

@@ -63,3 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # Spark Connect has no SparkContext
         pass
     return current
+
+
+def materialize(df):
+    """Cut lineage: reliable checkpoint into the session's shared checkpoint
+    folder (survives executor loss, unlike a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
