@@ -179,7 +179,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = {**oracle_more(), **oracle_features()}
+    q = {**oracle_more(), **oracle_features(), **oracle_eval()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -567,3 +567,54 @@ def oracle_features() -> dict:
         round(quantile_cont(price_pkr, 0.5), 2) AS median, round(min(price_pkr), 2) AS min,
         round(max(price_pkr), 2) AS max, round(stddev_samp(price_pkr), 2) AS std FROM prep""")
     return q
+
+
+# ---- evaluation -------------------------------------------------------------------
+
+
+def base_sql(col):
+    return f"""SELECT sp.*, price_pkr AS actual, coalesce(m.mp, (SELECT avg(price_pkr) FROM tr)) AS predicted
+        FROM sp LEFT JOIN (SELECT {col}, avg(price_pkr) AS mp FROM tr GROUP BY 1) m USING ({col})"""
+
+
+EXTRA_CTES["pred_cat"] = base_sql("scraped_category")
+EXTRA_CTES["pred_make"] = base_sql("compatible_make")
+EXTRA_CTES["pred_brand"] = base_sql("part_brand")
+
+
+def metrics_sql(src, where="split = 'test'", single_zero=False):
+    r2 = """CASE WHEN var_pop(actual) * count(*) = 0 THEN CASE WHEN sum((predicted - actual)^2) = 0 THEN 1.0 ELSE 0.0 END
+              ELSE 1 - sum((predicted - actual)^2) / (var_pop(actual) * count(*)) END"""
+    if single_zero:
+        r2 = f"CASE WHEN count(*) > 1 THEN {r2} ELSE 0.0 END"
+    return f"""count(*) AS n, avg(abs(predicted - actual)) AS mae, sqrt(avg((predicted - actual)^2)) AS rmse,
+        {r2} AS r2, avg(abs(predicted - actual) / greatest(abs(actual), 2.220446049250313e-16)) * 100 AS mape,
+        quantile_cont(abs(predicted - actual), 0.5) AS median_ae"""
+
+
+EVAL = FEAT_PIPE + ("sp", "tr")
+
+
+def oracle_eval() -> dict:
+    q = {}
+    q["regression_metrics"] = with_(*EVAL, "pred_cat", body=f"SELECT {metrics_sql('')} FROM pred_cat WHERE split = 'test'")
+    q["bucket_metrics"] = with_(*EVAL, "pred_cat", body=f"""SELECT bucket, {metrics_sql('', single_zero=True)} FROM (
+        SELECT *, CASE WHEN actual >= 0 AND actual < 2000 THEN 'Rs 0 – 2,000'
+          WHEN actual >= 2000 AND actual < 5000 THEN 'Rs 2,000 – 5,000'
+          WHEN actual >= 5000 AND actual < 15000 THEN 'Rs 5,000 – 15,000'
+          WHEN actual >= 15000 AND actual < 50000 THEN 'Rs 15,000 – 50,000'
+          WHEN actual >= 50000 THEN 'Rs 50,000+' END AS bucket FROM pred_cat WHERE split = 'test')
+        WHERE bucket IS NOT NULL GROUP BY bucket""")
+    for name, col, n in [("error_by_category", "scraped_category", 15), ("error_by_make", "compatible_make", 10)]:
+        q[name] = with_(*EVAL, "pred_cat", body=f"""SELECT {col} AS value, count(*) AS n,
+            avg(least(abs(predicted - actual) / actual * 100, 500.0)) AS mape, avg(abs(predicted - actual)) AS mae
+            FROM pred_cat GROUP BY 1 ORDER BY n DESC, value LIMIT {n}""")
+    q["sample_predictions"] = with_(*EVAL, "pred_cat", body=f"""SELECT substr(part_name, 1, 45) AS name, actual, predicted,
+        predicted - actual AS error, (predicted - actual) / actual * 100 AS pct_error
+        FROM pred_cat WHERE split = 'test' ORDER BY {ORD} LIMIT 15""")
+    m = " UNION ALL ".join(
+        f"SELECT 'mean_by_{c}' AS model, {i} AS rank, (SELECT r2 FROM (SELECT {metrics_sql('')} FROM pred_{t} WHERE split = 'test')) AS r2"
+        for i, (c, t) in enumerate([("scraped_category", "cat"), ("compatible_make", "make"), ("part_brand", "brand")]))
+    q["select_best"] = with_(*EVAL, "pred_cat", "pred_make", "pred_brand", body=f"""
+        SELECT arg_max(model, r2 * 1e6 - rank) AS best, max(r2) AS best_r2 FROM ({m})""")
+    return q

@@ -438,3 +438,68 @@ def serving_features(spark, d):
 @query
 def price_stats(spark, d):
     return ST.price_stats(_prepared(spark, d))
+
+
+# ---- evaluation on deterministic baseline predictors -------------------------
+
+def _split_frame(spark, d):
+    from pricewright.operators.features import split_assign as sa
+    from pricewright.session import materialize
+    return materialize(sa(_prepared(spark, d), _split_key()))
+
+
+def _baseline(frame, col):
+    """Group-mean price of ``col`` fitted on training rows; unseen -> train mean."""
+    train = frame.filter(F.col("split") == "train")
+    means = train.groupBy(col).agg(F.avg("price_pkr").alias("_m"))
+    glob = train.agg(F.avg("price_pkr")).scalar()
+    return (frame.join(means, col, "left")
+            .withColumn("predicted", F.coalesce(F.col("_m"), glob)).drop("_m")
+            .withColumn("actual", F.col("price_pkr")))
+
+
+def _test_preds(spark, d, col="scraped_category"):
+    return _baseline(_split_frame(spark, d), col).filter(F.col("split") == "test")
+
+
+@query
+def regression_metrics(spark, d):
+    from pricewright.plans.evaluate import regression_metrics as rm
+    return rm(_test_preds(spark, d))
+
+
+@query
+def bucket_metrics(spark, d):
+    from pricewright.plans.evaluate import bucket_metrics as bm
+    return bm(_test_preds(spark, d))
+
+
+@query
+def error_by_category(spark, d):
+    from pricewright.plans.evaluate import error_by
+    return error_by(_baseline(_split_frame(spark, d), "scraped_category"), "scraped_category", 15)
+
+
+@query
+def error_by_make(spark, d):
+    from pricewright.plans.evaluate import error_by
+    return error_by(_baseline(_split_frame(spark, d), "scraped_category"), "compatible_make", 10)
+
+
+@query
+def sample_predictions(spark, d):
+    from pricewright.plans.evaluate import sample_predictions as sp
+    return sp(_test_preds(spark, d), ORD_COLS)
+
+
+@query
+def select_best(spark, d):
+    """Three baseline predictors scored on the same test rows; best by R2."""
+    from pricewright.plans.evaluate import regression_metrics as rm, select_best as sb
+    frame = _split_frame(spark, d)
+    rows = []
+    for rank, col in enumerate(["scraped_category", "compatible_make", "part_brand"]):
+        m = rm(_baseline(frame, col).filter(F.col("split") == "test"))
+        rows.append(m.select(F.lit(f"mean_by_{col}").alias("model"), F.lit(rank).alias("rank"), "r2"))
+    metrics = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return sb(metrics)
