@@ -179,7 +179,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = {**oracle_more(), **oracle_features(), **oracle_eval()}
+    q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -618,3 +618,48 @@ def oracle_eval() -> dict:
     q["select_best"] = with_(*EVAL, "pred_cat", "pred_make", "pred_brand", body=f"""
         SELECT arg_max(model, r2 * 1e6 - rank) AS best, max(r2) AS best_r2 FROM ({m})""")
     return q
+
+
+# ---- text features --------------------------------------------------------------
+
+def _stop_sql():
+    from pricewright.operators.tfidf import stop_words
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
+
+
+def toks_sql(col):
+    return (f"list_filter(regexp_extract_all(lower(coalesce({col}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_][\\p{{L}}\\p{{M}}\\p{{N}}_]+', 0), "
+            f"lambda t: NOT list_contains({_stop_sql()}, t))")
+
+
+TERMS = ("list_concat(tk, CASE WHEN len(tk) >= 2 THEN list_transform(range(1, len(tk)), "
+         "lambda i: tk[i] || ' ' || tk[i + 1]) ELSE [] END)")
+
+
+def vocab_sql(src):
+    return f"""SELECT term, df, tf, ln((n + 1.0) / (df + 1.0)) + 1.0 AS idf,
+        row_number() OVER (ORDER BY term COLLATE "C") - 1 AS "index" FROM (
+      SELECT d.term, d.df, t.tf, (SELECT count(*) FROM {src}) AS n FROM
+        (SELECT term, count(*) AS df FROM (SELECT DISTINCT rid, unnest(terms) AS term FROM {src}) GROUP BY 1) d
+        JOIN (SELECT term, count(*) AS tf FROM (SELECT unnest(terms) AS term FROM {src}) GROUP BY 1) t USING (term)
+      WHERE d.df >= 2 AND d.df <= (SELECT count(*) FROM {src}) * 0.95
+      ORDER BY t.tf DESC, d.term COLLATE "C" LIMIT 300)"""
+
+
+EXTRA_CTES["docs"] = f"""SELECT *, {TERMS} AS terms FROM (
+    SELECT {ORD}, concat_ws('|', {ORD}) AS rid, {toks_sql('part_name')} AS tk FROM prep)"""
+EXTRA_CTES["vocab"] = vocab_sql("docs")
+EXTRA_CTES["ddocs"] = f"""SELECT *, {TERMS} AS terms FROM (
+    SELECT doc_id, doc_id AS rid, {toks_sql('text')} AS tk FROM documents)"""
+
+
+def oracle_text() -> dict:
+    q = {}
+    q["tfidf_vocab"] = with_(*FEAT_PIPE, "docs", "vocab", body="SELECT * FROM vocab")
+    q["tfidf_documents"] = with_("ddocs", body=f"SELECT * FROM ({vocab_sql('ddocs')})")
+    q["tfidf_weights"] = with_(*FEAT_PIPE, "docs", "vocab", body=f"""
+        SELECT {ORD}, term, "index", raw / sqrt(sum(raw * raw) OVER (PARTITION BY {ORD})) AS weight FROM (
+          SELECT c.*, v."index", c.n * v.idf AS raw FROM
+            (SELECT {ORD}, term, count(*) AS n FROM (SELECT {ORD}, unnest(terms) AS term FROM docs) GROUP BY ALL) c
+            JOIN vocab v USING (term))""")
+    return q

@@ -503,3 +503,35 @@ def select_best(spark, d):
         rows.append(m.select(F.lit(f"mean_by_{col}").alias("model"), F.lit(rank).alias("rank"), "r2"))
     metrics = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return sb(metrics)
+
+
+# ---- text features -------------------------------------------------------------
+
+def _docs(spark, d):
+    from pricewright.operators.tfidf import with_terms
+    return with_terms(_prepared(spark, d).select(*ORD_COLS, "part_name"))
+
+
+@query
+def tfidf_vocab(spark, d):
+    from pricewright.operators.tfidf import vocabulary
+    from pricewright.session import materialize
+    return vocabulary(materialize(_docs(spark, d)))
+
+
+@query
+def tfidf_weights(spark, d):
+    from pricewright.operators.tfidf import vocabulary, weights
+    from pricewright.session import materialize
+    docs = materialize(_docs(spark, d))
+    return weights(docs, vocabulary(docs), ORD_COLS)
+
+
+@query
+def tfidf_documents(spark, d):
+    """The same vocabulary step over the documents table (long texts)."""
+    from pricewright.operators.tfidf import vocabulary, with_terms
+    from pricewright.sources.listings import read_table, spread
+    from pricewright.session import materialize
+    docs = with_terms(spread(read_table(spark, d, "documents").select("doc_id", "text")), "text")
+    return vocabulary(materialize(docs.select("doc_id", "terms")))
