@@ -179,7 +179,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text()}
+    q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text(), **oracle_enrich()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -663,3 +663,54 @@ def oracle_text() -> dict:
             (SELECT {ORD}, term, count(*) AS n FROM (SELECT {ORD}, unnest(terms) AS term FROM docs) GROUP BY ALL) c
             JOIN vocab v USING (term))""")
     return q
+
+
+# ---- enrichment ------------------------------------------------------------------
+
+from pricewright.operators.enrich import INSTRUCTIONS  # noqa: E402
+
+_KEY = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in ORD.split(", ")) + ")"
+EXTRA_CTES["todo"] = f"""SELECT * FROM uniq WHERE {_blank_token('compatible_make')} OR {_blank_token('part_type')}"""
+EXTRA_CTES["batched"] = f"""SELECT *, CAST(bucket AS BIGINT) * 1000000000 + rn // 15 AS batch_id, CAST(rn % 15 AS INTEGER) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {ORD}) - 1 AS rn FROM (
+    SELECT *, CAST(CAST(('0x' || substr(md5({_KEY}), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS bucket FROM todo))"""
+EXTRA_CTES["shaped"] = """SELECT *, l_partkey % 4 AS v, batch_id % 7 = 3 AS bare FROM batched"""
+
+
+def oracle_enrich() -> dict:
+    q = {}
+    enr = PIPE + ("todo", "batched")
+    q["enrichment_batches"] = with_(*enr, body=f"SELECT {ORD}, batch_id, pos FROM batched")
+    instr = INSTRUCTIONS.replace("'", "''")
+    q["enrichment_prompts"] = with_(*enr, body=f"""
+        SELECT batch_id, count(*) AS n_parts,
+          replace('{instr}', '{{n}}', CAST(count(*) AS VARCHAR))
+            || string_agg(printf('%d. Name: "%s", Category: "%s"', pos + 1, part_name, coalesce(scraped_category, '')),
+                          chr(10) ORDER BY pos) AS prompt
+        FROM batched GROUP BY batch_id""")
+    q["parse_responses"] = with_(*enr, "shaped", body="""
+        SELECT batch_id, pos,
+          CASE WHEN v = 0 THEN concat('B-', l_suppkey % 10) END AS part_brand,
+          CASE WHEN v = 0 THEN concat('Make ', l_partkey % 7) END AS compatible_make,
+          CASE WHEN v = 0 THEN CAST(l_linenumber + 2000 AS VARCHAR) WHEN v = 2 THEN '2017.9' END AS year_from
+        FROM shaped WHERE NOT bare AND v IN (0, 1, 2)
+        UNION ALL
+        SELECT batch_id, CAST(count(*) AS INTEGER) AS pos, NULL, NULL, NULL FROM shaped
+        WHERE NOT bare AND batch_id % 6 = 1 GROUP BY batch_id""")
+    hit = "(NOT bare AND v IN (0, 1, 2))"
+    q["merge_responses"] = with_(*enr, "shaped", body=f"""
+        SELECT {ORD},
+          CASE WHEN NOT {hit} THEN part_brand WHEN v = 0 THEN concat('B-', l_suppkey % 10) WHEN v = 2 THEN ''
+               ELSE part_brand END AS part_brand,
+          CASE WHEN NOT {hit} THEN part_type WHEN v = 0 THEN split_part(part_name, ' ', 2) WHEN v = 1 THEN 'Filter'
+               ELSE part_type END AS part_type,
+          CASE WHEN NOT {hit} THEN compatible_make WHEN v = 0 THEN concat('Make ', l_partkey % 7) ELSE '' END AS compatible_make,
+          CASE WHEN NOT {hit} THEN compatible_model WHEN v = 0 THEN concat('Model ', l_suppkey % 3) ELSE '' END AS compatible_model,
+          CASE WHEN NOT {hit} THEN year_from WHEN v = 0 THEN CASE WHEN l_linenumber + 2000 BETWEEN 1980 AND 2030 THEN l_linenumber + 2000 END
+               WHEN v = 2 THEN 2017 END AS year_from,
+          CASE WHEN NOT {hit} THEN year_to WHEN v = 0 THEN CASE WHEN l_linenumber + 2010 BETWEEN 1980 AND 2030 THEN l_linenumber + 2010 END
+               END AS year_to,
+          CASE WHEN NOT {hit} THEN condition WHEN v = 0 THEN 'Used' WHEN v = 1 THEN 'New' ELSE '' END AS condition,
+          {hit} AS enriched
+        FROM shaped""")
+    return q

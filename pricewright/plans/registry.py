@@ -535,3 +535,69 @@ def tfidf_documents(spark, d):
     from pricewright.session import materialize
     docs = with_terms(spread(read_table(spark, d, "documents").select("doc_id", "text")), "text")
     return vocabulary(materialize(docs.select("doc_id", "terms")))
+
+
+# ---- enrichment ----------------------------------------------------------------
+
+def _batched(spark, d):
+    from pricewright.operators.enrich import assign_batches
+    todo = B.flat(B.unique(spark, d).drop("alternatives")).filter(needs_enrichment())
+    return assign_batches(todo.withColumn("ord", F.struct(*ORD_COLS)), _split_key())
+
+
+def synth_responses(batched):
+    """A stand-in model derived from the rows: per row one of four element
+    shapes (full object, missing keys, explicit nulls, a bare number); per
+    batch a fenced reply, a bare object instead of an array, or one extra
+    element."""
+    v = F.col("l_partkey") % 4
+    word = F.split_part(F.col("part_name"), F.lit(" "), F.lit(2))
+    elem = (F.when(v == 0, F.format_string(
+                '{"part_brand": "B-%d", "part_type": "%s", "compatible_make": "Make %d", '
+                '"compatible_model": "Model %d", "year_from": %d, "year_to": "%d", "condition": "Used"}',
+                F.col("l_suppkey") % 10, word, F.col("l_partkey") % 7, F.col("l_suppkey") % 3,
+                F.col("l_linenumber") + 2000, F.col("l_linenumber") + 2010))
+            .when(v == 1, F.lit('{"part_type": "Filter"}'))
+            .when(v == 2, F.lit('{"part_brand": null, "compatible_make": null, "year_from": 2017.9, "condition": ""}'))
+            .otherwise(F.lit("5")))
+    g = batched.groupBy("batch_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", elem.alias("e")))),
+                                 lambda x: x["e"]), ",").alias("_body"))
+    b = F.col("batch_id")
+    arr = F.when(b % 6 == 1, F.concat(F.lit("["), "_body", F.lit(',{"part_type": "extra"}]'))) \
+           .otherwise(F.concat(F.lit("["), "_body", F.lit("]")))
+    resp = (F.when(b % 7 == 3, F.lit('{"part_type": "bare"}'))
+             .when(b % 5 == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+             .otherwise(arr))
+    return g.select("batch_id", resp.alias("response"))
+
+
+@query
+def enrichment_batches(spark, d):
+    return _batched(spark, d).select(*ORD_COLS, "batch_id", "pos")
+
+
+@query
+def enrichment_prompts(spark, d):
+    from pricewright.operators.enrich import build_prompts
+    return build_prompts(_batched(spark, d))
+
+
+@query
+def parse_responses(spark, d):
+    from pricewright.operators.enrich import _as_str, _field, parse_responses as pr
+    from pricewright.session import materialize
+    b = materialize(_batched(spark, d))
+    p = pr(synth_responses(b))
+    return p.select("batch_id", "pos", *[_as_str(_field(F.col("elem"), k)).alias(k)
+                                         for k in ["part_brand", "compatible_make", "year_from"]])
+
+
+@query
+def merge_responses(spark, d):
+    from pricewright.operators.enrich import merge_responses as mr, parse_responses as pr
+    from pricewright.session import materialize
+    b = materialize(_batched(spark, d))
+    m = mr(b, pr(synth_responses(b)))
+    return m.select(*ORD_COLS, "part_brand", "part_type", "compatible_make", "compatible_model",
+                    "year_from", "year_to", "condition", "enriched")
