@@ -179,7 +179,8 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
 def oracle() -> dict:
-    q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text(), **oracle_enrich()}
+    q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text(), **oracle_enrich(),
+         **oracle_score()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -714,3 +715,32 @@ def oracle_enrich() -> dict:
           {hit} AS enriched
         FROM shaped""")
     return q
+
+
+# ---- scoring requests ----------------------------------------------------------
+
+
+def oracle_score() -> dict:
+    q = {}
+    req = f"""SELECT {ORD}, part_name, part_type, part_brand, scraped_category, compatible_make, compatible_model,
+        CASE WHEN l_linenumber = 7 THEN 2099 ELSE year_from END AS year_from, year_to, price_original_pkr,
+        CAST(NULL AS INTEGER) AS alternatives_count, condition FROM cleaned"""
+    EXTRA_CTES["req"] = req
+    lim = {"part_name": 300, "part_type": 200, "part_brand": 100, "scraped_category": 100,
+           "compatible_make": 100, "compatible_model": 100}
+    rules = ["CASE WHEN part_name IS NULL THEN 'part_name_missing' END",
+             "CASE WHEN part_name IS NOT NULL AND length(part_name) < 1 THEN 'part_name_empty' END"]
+    rules += [f"CASE WHEN length({c}) > {n} THEN '{c}_too_long' END" for c, n in lim.items()]
+    rules += [f"CASE WHEN {c} < 0 OR {c} > 2030 THEN '{c}_out_of_range' END" for c in ["year_from", "year_to"]]
+    rules += [f"CASE WHEN {c} < 0 THEN '{c}_negative' END" for c in ["price_original_pkr", "alternatives_count"]]
+    arr = "list_filter([" + ", ".join(rules) + "], lambda x: x IS NOT NULL)"
+    q["validate_requests"] = with_("listings", "cleaned", "req", body=f"""
+        SELECT {ORD}, len({arr}) = 0 AS valid, array_to_string({arr}, ',') AS violations FROM req""")
+    d = {"part_type": "Unknown", "part_brand": "Unknown", "scraped_category": "Unknown",
+         "compatible_make": "Universal", "compatible_model": "Universal", "condition": "New"}
+    sel = ", ".join(f"coalesce(CASE WHEN {c} <> '' THEN {c} END, '{v}') AS {c}" for c, v in d.items())
+    q["request_defaults"] = with_("listings", "cleaned", "req", body=f"""
+        SELECT {ORD}, {sel}, CAST(coalesce(year_from, 0) AS INTEGER) AS year_from,
+          CAST(coalesce(year_to, 0) AS INTEGER) AS year_to, CAST(coalesce(alternatives_count, 0) AS INTEGER) AS alternatives_count
+        FROM req""")
+    return q

@@ -601,3 +601,112 @@ def merge_responses(spark, d):
     m = mr(b, pr(synth_responses(b)))
     return m.select(*ORD_COLS, "part_brand", "part_type", "compatible_make", "compatible_model",
                     "year_from", "year_to", "condition", "enriched")
+
+
+# ---- model training and scoring (rows-only checks) --------------------------
+
+def _ml_frame(spark, d):
+    from pricewright.operators.features import features as fe
+    enc, maps = fe(_train_view(spark, d), key=_split_key(), fit_on="train")
+    return enc, maps
+
+
+def _fit_preds(spark, d, preset):
+    from pricewright.plans.train import fit, predict
+    frame, _ = _ml_frame(spark, d)
+    model = fit(frame, preset)
+    return predict(model, frame.filter(F.col("split") == "test")).select(*ORD_COLS, "actual", "predicted")
+
+
+@query
+def fit_forest(spark, d):
+    return _fit_preds(spark, d, "forest")
+
+
+@query
+def fit_gbt(spark, d):
+    return _fit_preds(spark, d, "hist")
+
+
+@query
+def feature_count(spark, d):
+    from pricewright.operators.tfidf import vocabulary
+    from pricewright.plans.train import BASE_INPUTS
+    from pricewright.session import materialize
+    docs = materialize(_docs(spark, d))
+    n_text = vocabulary(docs).agg(F.count(F.lit(1)).alias("n_text"))
+    return n_text.select(F.lit(len(BASE_INPUTS)).alias("n_base"), "n_text",
+                         (F.lit(len(BASE_INPUTS)) + F.col("n_text")).alias("n_features"))
+
+
+@query
+def feature_importance(spark, d):
+    from pricewright.plans.train import feature_importance as fi, feature_names, fit
+    frame, _ = _ml_frame(spark, d)
+    return fi(fit(frame, "forest"), feature_names(), spark)
+
+
+@query
+def holdout_report(spark, d):
+    """Fit the presets, keep the best by R2, report its holdout metrics per bucket."""
+    from pricewright.plans.evaluate import bucket_metrics, select_best
+    from pricewright.plans.train import predict, train_models
+    frame, _ = _ml_frame(spark, d)
+    models, metrics = train_models(frame, presets=("forest", "hist"))
+    best = select_best(metrics).first()["best"]  # one row
+    preds = predict(models[best], frame.filter(F.col("split") == "test"))
+    return bucket_metrics(preds).withColumn("model", F.lit(best))
+
+
+def _requests(spark, d):
+    """Scoring requests derived from cleaned listings; rows on line 7 carry
+    an impossible year and are rejected."""
+    c = B.flat(B.cleaned(spark, d).drop("alternatives"))
+    return c.select(*ORD_COLS, "part_name", "part_type", "part_brand", "scraped_category", "compatible_make",
+                    "compatible_model", F.when(F.col("l_linenumber") == 7, F.lit(2099))
+                    .otherwise(F.col("year_from")).alias("year_from"), "year_to", "price_original_pkr",
+                    F.lit(None).cast("int").alias("alternatives_count"), "condition")
+
+
+@query
+def validate_requests(spark, d):
+    from pricewright.plans.score import validate_requests as vr
+    v = vr(_requests(spark, d))
+    return v.select(*ORD_COLS, "valid", F.array_join("violations", ",").alias("violations"))
+
+
+@query
+def request_defaults(spark, d):
+    from pricewright.plans.score import request_defaults as rd
+    return rd(_requests(spark, d)).select(*ORD_COLS, "part_type", "part_brand", "scraped_category",
+                                          "compatible_make", "compatible_model", "condition", "year_from",
+                                          "year_to", "alternatives_count")
+
+
+@query
+def score_requests(spark, d):
+    from pricewright.plans.score import score
+    from pricewright.plans.train import fit
+    frame, maps = _ml_frame(spark, d)
+    model = fit(frame, "hist")
+    scored, _ = score(_requests(spark, d), model, maps, model_name="hist")
+    return scored.select(*ORD_COLS, "predicted_price_pkr", "confidence_range_low", "confidence_range_high",
+                         "currency", "model_name")
+
+
+@query
+def model_info(spark, d):
+    """Train, save (model, maps, metadata) under the shared checkpoint
+    folder, load back and summarise."""
+    import uuid
+
+    from pricewright.plans.evaluate import select_best
+    from pricewright.plans.train import load_model, model_info as mi, save_model, train_models
+    from pricewright.session import ensure_checkpoint_dir
+    frame, maps = _ml_frame(spark, d)
+    models, metrics = train_models(frame, presets=("hist",))
+    best = select_best(metrics).first()["best"]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    save_model(models[best], maps, metrics, best, path)
+    _, _, meta = load_model(spark, path)
+    return mi(meta)
