@@ -180,7 +180,7 @@ EXTRA_CTES["priced"] = PRICED_DEDUP
 
 def oracle() -> dict:
     q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text(), **oracle_enrich(),
-         **oracle_score()}
+         **oracle_score(), **oracle_pages()}
     q["clean_strings"] = with_("listings", body=f"""
         SELECT {ORD}, {cs('part_name')} AS part_name, {cs('part_type')} AS part_type,
                {cs('description')} AS description, {wtrim('part_name')} AS name_stripped FROM listings""")
@@ -744,3 +744,17 @@ def oracle_score() -> dict:
           CAST(coalesce(year_to, 0) AS INTEGER) AS year_to, CAST(coalesce(alternatives_count, 0) AS INTEGER) AS alternatives_count
         FROM req""")
     return q
+
+
+def oracle_pages() -> dict:
+    q = {}
+    a, b = ptext("price_text", "del_text", "ins_text")
+    avail = "available"
+    q["listing_cards"] = with_("texts", body=f"""
+        SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS card_no,
+          split_part(trim(part_name), '  ', 1) AS part_name,
+          concat('https://shop.example/shop/', l_partkey, '-', l_suppkey % 4) AS product_url,
+          {a} AS price_pkr, {b} AS price_original_pkr, {avail} AS available
+        FROM texts""")
+    q["page_detail_robustness"] = "SELECT page_id, 0.0 AS price, 0.0 AS original_price FROM pages"
+    return q

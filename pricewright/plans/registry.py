@@ -710,3 +710,75 @@ def model_info(spark, d):
     save_model(models[best], maps, metrics, best, path)
     _, _, meta = load_model(spark, path)
     return mi(meta)
+
+
+# ---- HTML extraction -------------------------------------------------------------
+
+def card_pages(spark, d):
+    """Listing pages rendered from the listing table: one page per order,
+    one product card per line (sale rows carry del/ins, closed lines an
+    out-of-stock badge)."""
+    r = B.raw(spark, d, text=True)
+    name = F.split_part(F.trim(F.col("part_name")), F.lit("  "), F.lit(1))
+    card = F.concat(
+        F.lit('<li class="product type-product"><a href="/shop/'), F.col("l_partkey").cast("string"), F.lit("-"),
+        (F.col("l_suppkey") % 4).cast("string"), F.lit('"><h2 class="woocommerce-loop-product__title">'), name,
+        F.lit('</h2></a><span class="price">'), F.col("price_text"), F.lit("</span>"),
+        F.when(F.col("del_text").isNotNull(), F.concat(F.lit("<del>"), F.col("del_text"), F.lit("</del><ins>"),
+                                                       F.col("ins_text"), F.lit("</ins>"))).otherwise(F.lit("")),
+        F.when(~F.col("available"), F.lit('<span class="out-of-stock">Sold</span>')).otherwise(F.lit("")),
+        F.lit("</li>"))
+    pages = r.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", card.alias("c"))))
+                                        .alias("_c"))
+    html = F.concat(F.lit('<html><body><ul class="products">'),
+                    F.array_join(F.transform("_c", lambda x: x["c"]), ""), F.lit("</ul></body></html>"))
+    return pages.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query
+def listing_cards(spark, d):
+    from pricewright.operators.extract import listing_cards as lc
+    return lc(card_pages(spark, d), base_url="https://shop.example").select(
+        "page_id", "card_no", "part_name", "product_url", "price_pkr", "price_original_pkr", "available")
+
+
+def detail_pages(spark, d):
+    """Product pages rendered from the listing table, one price layout per
+    line number: sale pair, single amount, JSON-LD offer, meta tag, currency
+    text in the summary, or none (out of stock)."""
+    r = B.raw(spark, d)
+    p = F.format_number("l_extendedprice", 2)
+    hi = F.format_number(round2(F.col("l_extendedprice") * 1.2), 2)
+    amt = lambda x: F.concat(F.lit('<span class="woocommerce-Price-amount amount">Rs '), x, F.lit("</span>"))
+    k = F.col("l_linenumber") % 6
+    body = (F.when(k == 0, F.concat(F.lit('<div class="summary"><p class="price"><del>'), amt(hi),
+                                    F.lit("</del> <ins>"), amt(p), F.lit("</ins></p></div>")))
+            .when(k == 1, F.concat(F.lit('<div class="summary"><p class="price">'), amt(p), F.lit("</p></div>")))
+            .when(k == 2, F.concat(F.lit('<script type="application/ld+json">{"offers": {"price": "'),
+                                   F.col("l_extendedprice").cast("string"), F.lit('"}}</script>')))
+            .when(k == 3, F.concat(F.lit('<meta property="product:price:amount" content="'),
+                                   F.col("l_extendedprice").cast("string"), F.lit('">')))
+            .when(k == 4, F.concat(F.lit('<div class="product-info">Now only Rs '), p, F.lit(" today</div>")))
+            .otherwise(F.lit('<div class="summary"><p class="stock out-of-stock">Out of stock</p></div>')))
+    desc = F.concat(F.lit('<div class="woocommerce-product-details__short-description"><p>'),
+                    F.col("part_name"), F.lit("</p></div>"))
+    return r.select(F.xxhash64(*ORD_COLS).alias("page_id"), *ORD_COLS,
+                    F.concat(F.lit("<html><body>"), body, desc, F.lit("</body></html>")).alias("html"))
+
+
+@query
+def detail_prices(spark, d):
+    from pricewright.operators.extract import detail_prices as dp
+    pages = detail_pages(spark, d)
+    out = dp(pages.select("page_id", "html"))
+    return out.join(pages.select("page_id", *ORD_COLS), "page_id").select(
+        *ORD_COLS, "price", "original_price", "available", "description")
+
+
+@query
+def page_detail_robustness(spark, d):
+    """Every crawled page runs through the detail extractor without error."""
+    from pricewright.operators.extract import detail_prices as dp
+    from pricewright.sources.pages import crawl_pages
+    return dp(crawl_pages(spark, d).select("page_id", "html")).select("page_id", "price", "original_price")
