@@ -19,9 +19,11 @@ COMPAT_RANGE_PATTERN = r"(?i)through|–|-"
 
 
 def round2(c) -> Column:
-    """Round a double to cents on its binary value (x*100, half away from
-    zero), as Python's round does for all but exact binary ties. Spark's
-    round(x, 2) rounds the shortest decimal text instead (2.675 -> 2.68)."""
+    """Round a double to cents as round(x*100)/100, half away from zero: the
+    same arithmetic as DuckDB's round(double, 2), and Python's result except
+    where x*100 lands exactly on .5 in binary (2.675 -> 2.68, Python 2.67;
+    quirk Q2). Spark's own round(x, 2) rounds the shortest decimal text,
+    which disagrees more often (4876.525 -> 4876.53)."""
     return F.round(_col(c) * 100, 0) / 100
 
 
