@@ -19,17 +19,26 @@ COMPAT_RANGE_PATTERN = r"(?i)through|–|-"
 
 
 def round2(c) -> Column:
-    """Round a double to cents as round(x*100)/100, half away from zero: the
-    same arithmetic as DuckDB's round(double, 2), and Python's result except
-    where x*100 lands exactly on .5 in binary (2.675 -> 2.68, Python 2.67;
-    quirk Q2). Spark's own round(x, 2) rounds the shortest decimal text,
-    which disagrees more often (4876.525 -> 4876.53)."""
-    return F.round(_col(c) * 100, 0) / 100
+    """Round a double to cents as round(x*100)/100, half away from zero, in
+    plain double arithmetic (no BigDecimal per row): the same arithmetic as
+    DuckDB's round(double, 2), and Python's result except where x*100 lands
+    exactly on .5 in binary (2.675 -> 2.68, Python 2.67; quirk Q2). Spark's
+    own round(x, 2) rounds the shortest decimal text, which disagrees more
+    often (4876.525 -> 4876.53)."""
+    x = _col(c)
+    return F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100
 
 
 def _to_money(s: Column) -> Column:
-    """Guarded string -> double rounded to 2; anything unparsable -> null."""
-    return F.when(s.rlike(FLOAT_LITERAL), round2(s.try_cast("double")))
+    """Guarded string -> double rounded to 2; anything unparsable -> null.
+
+    Spark's string cast accepts a few forms Python's float() does not
+    ("1d", "2f", hex "0x1p3"); those are rejected with cheap string tests
+    instead of a per-row regex. NaN and infinities are not prices."""
+    v = s.try_cast("double")
+    tail = F.lower(F.substring(s, -1, 1))
+    ok = v.isNotNull() & (F.abs(v) < float("inf")) & ~tail.isin("d", "f") & ~F.lower(s).contains("x")
+    return F.when(ok, round2(v))
 
 
 def finite_positive(c) -> Column:

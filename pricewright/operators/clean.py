@@ -28,7 +28,7 @@ def clean_expressions(df: DataFrame) -> list:
         clean_year(_opt(df, "year_to"), dtypes.get("year_to")).alias("year_to"),
         clean_price(F.coalesce(_opt(df, "price_pkr").cast("string"), F.lit("0"))).alias("price_pkr"),
         clean_price(F.coalesce(_opt(df, "price_original_pkr").cast("string"), F.lit("0"))).alias("price_original_pkr"),
-        F.when(cond == "", F.lit("New")).otherwise(cond).alias("condition"),
+        F.coalesce(F.nullif(cond, F.lit("")), F.lit("New")).alias("condition"),
         F.coalesce(_opt(df, "available").cast("boolean"), F.lit(True)).alias("available"),
         F.coalesce(_opt(df, "website").cast("string"), F.lit("")).alias("website"),
         F.coalesce(_opt(df, "product_url").cast("string"), F.lit("")).alias("product_url"),

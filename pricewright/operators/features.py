@@ -159,8 +159,13 @@ def split_assign(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) ->
 
 def prepare(df: DataFrame, trim: bool = True, make_default: str = "Unknown",
             model_default: str = "Unknown") -> DataFrame:
-    """Positive price, outlier trim, fills and engineered columns."""
-    base = positive_price(df)
+    """Positive price, outlier trim, fills and engineered columns.
+
+    The priced rows are checkpointed first: the quantile bounds and the
+    trim both read them, and this is the hand-off point between the
+    catalogue build and modelling."""
+    from pricewright.session import materialize
+    base = materialize(positive_price(df))
     if trim:
         base = trim_outliers(base)
     return engineered(fill_missing(base, make_default, model_default))
@@ -177,12 +182,9 @@ def features(df: DataFrame, key=None, fit_on: str = "train", maps: dict | None =
 
     ``fit_on='train'`` fits the lookup maps on training rows only (no
     target leakage); ``'all'`` reproduces fitting on every row."""
-    from pricewright.session import materialize
     base = prepare(df, trim)
     if key is not None:
         base = split_assign(base, key, test_size, seed)
-    # the prepared rows feed three map fits and the encoding: compute once
-    base = materialize(base)
     if maps is None:
         fit = base.filter(F.col("split") == "train") if (fit_on == "train" and key is not None) else base
         maps = fit_maps(fit)

@@ -46,7 +46,7 @@ def wtrim(x):
 
 def cprice(x):
     s = wtrim(f"replace(coalesce(CAST({x} AS VARCHAR), '0'), ',', '')")
-    return (f"CASE WHEN regexp_matches({s}, '{FLOAT_LITERAL}') "
+    return (f"CASE WHEN regexp_matches({s}, '{FLOAT_LITERAL}') AND isfinite(TRY_CAST({s} AS DOUBLE)) "
             f"THEN round(TRY_CAST({s} AS DOUBLE), 2) ELSE 0.0 END")
 
 
@@ -271,7 +271,8 @@ NUM = "[0-9][0-9,]*(?:\\.[0-9]+)?"
 
 
 def money(s):
-    return f"(CASE WHEN regexp_matches({s}, '{FLOAT_LITERAL}') THEN round(TRY_CAST({s} AS DOUBLE), 2) END)"
+    return (f"(CASE WHEN regexp_matches({s}, '{FLOAT_LITERAL}') AND isfinite(TRY_CAST({s} AS DOUBLE)) "
+            f"THEN round(TRY_CAST({s} AS DOUBLE), 2) END)")
 
 
 def pprice(t, compat=False):

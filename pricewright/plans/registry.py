@@ -444,8 +444,7 @@ def price_stats(spark, d):
 
 def _split_frame(spark, d):
     from pricewright.operators.features import split_assign as sa
-    from pricewright.session import materialize
-    return materialize(sa(_prepared(spark, d), _split_key()))
+    return sa(_prepared(spark, d), _split_key())
 
 
 def _baseline(frame, col):
@@ -515,15 +514,14 @@ def _docs(spark, d):
 @query
 def tfidf_vocab(spark, d):
     from pricewright.operators.tfidf import vocabulary
-    from pricewright.session import materialize
-    return vocabulary(materialize(_docs(spark, d)))
+    return vocabulary(_docs(spark, d))
 
 
 @query
 def tfidf_weights(spark, d):
     from pricewright.operators.tfidf import vocabulary, weights
     from pricewright.session import materialize
-    docs = materialize(_docs(spark, d))
+    docs = _docs(spark, d)
     return weights(docs, vocabulary(docs), ORD_COLS)
 
 
