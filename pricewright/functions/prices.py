@@ -29,6 +29,12 @@ def round2(c) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100
 
 
+def round_n(c, n: int = 4) -> Column:
+    """round(x * 10^n) / 10^n, half away from zero, in double arithmetic."""
+    x, m = _col(c), float(10 ** n)
+    return F.signum(x) * F.floor(F.abs(x) * m + 0.5) / m
+
+
 def _to_money(s: Column) -> Column:
     """Guarded string -> double rounded to 2; anything unparsable -> null.
 

@@ -140,7 +140,7 @@ WHERE a.gt <> '' AND a.gm <> '' AND a.gm <> 'universal'
 EXTRA_CTES = {
     "keyed": ALTS,
     "pairs": ALT_PAIRS,
-    "final": """SELECT u.*, coalesce(c.n, 0) AS alternatives_count FROM uniq u LEFT JOIN
+    "final": """SELECT u.*, CAST(coalesce(c.n, 0) AS INTEGER) AS alternatives_count FROM uniq u LEFT JOIN
         (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, count(*) AS n
          FROM pairs WHERE pos <= 10 GROUP BY ALL) c USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)""",
 }
@@ -178,6 +178,15 @@ WHERE CASE WHEN first_price = 0 AND any_priced = 1 THEN rn_priced = 1 ELSE rn_fi
 EXTRA_CTES["priced"] = PRICED_DEDUP
 
 
+def _round4(q: dict) -> dict:
+    from pricewright.plans.registry import ROUND4
+    for name, cols in ROUND4.items():
+        if name in q:
+            rep = ", ".join(f"round({c}, 4) AS {c}" for c in cols)
+            q[name] = f"SELECT * REPLACE ({rep}) FROM ({q[name]})"
+    return q
+
+
 def oracle() -> dict:
     q = {**oracle_more(), **oracle_features(), **oracle_eval(), **oracle_text(), **oracle_enrich(),
          **oracle_score(), **oracle_pages()}
@@ -249,7 +258,7 @@ def oracle() -> dict:
           UNION ALL SELECT 'compatible_make', compatible_make FROM uniq
           UNION ALL SELECT 'compatible_model', compatible_model FROM uniq
           UNION ALL SELECT 'part_brand', part_brand FROM uniq) WHERE value IS NOT NULL ORDER BY 1, 2""")
-    return q
+    return _round4(q)
 
 
 # ---- scalar functions ----------------------------------------------------------

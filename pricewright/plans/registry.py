@@ -18,8 +18,36 @@ from pricewright.sources.listings import ORD_COLS
 
 REGISTRY: dict = {}
 
+# Output columns of computed doubles, rounded to 4 decimals in the registered
+# result (and in its oracle) so that summation order cannot change a value.
+ROUND4 = {
+    "frequency_maps": ["freq"], "price_mean_maps": ["mean_price"],
+    "lookup_encode": ["compatible_make_freq", "compatible_model_freq", "part_brand_freq",
+                      "scraped_category_freq", "scraped_category_price_mean", "compatible_make_price_mean"],
+    "group_mean_transform": ["category_mean"],
+    "features": ["compatible_make_freq", "compatible_model_freq", "part_brand_freq", "scraped_category_freq",
+                 "scraped_category_price_mean", "compatible_make_price_mean"],
+    "serving_features": ["compatible_make_freq", "compatible_model_freq", "part_brand_freq",
+                         "scraped_category_freq", "scraped_category_price_mean", "compatible_make_price_mean"],
+    "regression_metrics": ["mae", "rmse", "r2", "mape", "median_ae"],
+    "bucket_metrics": ["mae", "rmse", "r2", "mape", "median_ae"],
+    "error_by_category": ["mape", "mae"], "error_by_make": ["mape", "mae"],
+    "select_best": ["best_r2"], "tfidf_vocab": ["idf"], "tfidf_documents": ["idf"], "tfidf_weights": ["weight"],
+    "sample_predictions": ["predicted", "error", "pct_error"],
+}
+
 
 def query(fn):
+    cols = ROUND4.get(fn.__name__)
+    if cols:
+        from pricewright.functions.prices import round_n
+
+        def rounded(spark, d, _fn=fn, _cols=cols):
+            df = _fn(spark, d)
+            return df.select(*[round_n(c, 4).alias(c) if c in _cols else F.col(c) for c in df.columns])
+        rounded.__name__ = fn.__name__
+        REGISTRY[fn.__name__] = rounded
+        return fn
     REGISTRY[fn.__name__] = fn
     return fn
 
@@ -98,7 +126,8 @@ def dedupe_priced(spark, d):
 @query
 def alternatives(spark, d):
     fin = B.flat(B.final(spark, d))
-    return explode_alternatives(fin, ORD_COLS)
+    out = explode_alternatives(fin, ORD_COLS)
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query

@@ -19,10 +19,10 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path_id = F.regexp_extract("url", r"/([0-9]+)", 1).try_cast("bigint")
     w = Window.partitionBy("category_slug").orderBy("_path_id", "page_id")
     return (p.withColumn("category_slug", host).withColumn("_path_id", path_id)
-            .withColumn("page_no", F.row_number().over(w))
+            .withColumn("page_no", F.row_number().over(w).cast("bigint"))
             .withColumn("status", F.when(F.col("url").endswith("#top"), F.lit(404)).otherwise(F.lit(200)))
             .withColumn("n_cards", F.when(F.col("html").isNull(), F.lit(0)).otherwise(
-                ((F.length("html") - F.length(F.replace("html", F.lit("<li"), F.lit("")))) / 3).cast("int")))
+                ((F.length("html") - F.length(F.replace("html", F.lit("<li"), F.lit("")))) / 3).cast("bigint")))
             .select("page_id", "category_slug", "page_no", "url", "status", "n_cards", "html"))
 
 
