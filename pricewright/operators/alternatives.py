@@ -57,9 +57,17 @@ def candidates(members: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERN
     return firsts.groupBy(*GROUP_COLS).agg(F.collect_list(cand).alias("_cand"))
 
 
-def build_alternatives(df: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERNATIVES) -> DataFrame:
-    """Fill ``alternatives`` for every row; ineligible rows get []."""
-    keyed = with_group_key(df.drop("alternatives") if "alternatives" in df.columns else df)
+def build_alternatives(df: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERNATIVES,
+                       checkpoint: bool = True) -> DataFrame:
+    """Fill ``alternatives`` for every row; ineligible rows get [].
+
+    The input is read twice (candidates and the join back), so by default it
+    is checkpointed first rather than recomputed from its sources."""
+    base = df.drop("alternatives") if "alternatives" in df.columns else df
+    if checkpoint:
+        from pricewright.session import materialize
+        base = materialize(base)
+    keyed = with_group_key(base)
     members = keyed.filter(eligible()).select(*GROUP_COLS, order_col, "part_name", "part_brand",
                                               "price_pkr", "product_url")
     cand = candidates(members, order_col, cap)
