@@ -1,0 +1,199 @@
+"""Secret scan in DataFrame functions only.
+
+Base spans come from three fixed patterns. Further candidates are runs of key
+characters that mix letters and digits; two character Markov models, one of
+random strings and one of ordinary identifiers, give each a log-likelihood
+ratio per character, and those above a threshold are added.
+
+The models are bigram counts of labelled samples: values of base spans are the
+random strings, words of 14 letters or more the identifiers, each at most
+``max_samples`` distinct strings chosen by hash.
+
+Positions are code points. A regular expression that ends each match with the
+pattern and starts at the end of the last one (\\G) yields gap and match in
+order, so running lengths give positions without any Python.
+
+Defined results: a null text is empty and has no spans. Without samples of both
+kinds no span is added. Duplicate rows are scanned each; columns of the input
+that bear an output's name are replaced. An added span never overlaps a base
+span."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricewright.llm._common import stage, table
+
+# The base patterns.
+ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
+VALUE = "[A-Za-z0-9+/_.=-]+"
+ACCESS = "AKIA[A-Z0-9]{16,}"     # as AKIA[A-Z0-9]+ with 20 characters or more: a run is matched whole
+HEX = "[0-9a-f]{24,}"            # likewise
+KINDS = ["assign", "access", "hex", "markov"]
+
+CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
+MAX_SAMPLES = 5000
+THRESHOLD = 0.4          # nats per character by which the random model must be better
+SPAN = "array<struct<start:int,end:int,kind:int>>"
+
+
+def _matches(text: Column, before: str, value: str) -> Column:
+    """Array of (gap and opening, value) lengths and the value, per match in order."""
+    gap = F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?)({before})({value})"), F.lit(1))
+    head = F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?)({before})({value})"), F.lit(2))
+    tail = F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?)({before})({value})"), F.lit(3))
+    return F.arrays_zip(gap.alias("g"), head.alias("h"), tail.alias("v"))
+
+
+def _place(found: Column) -> Column:
+    """Running positions: array of (start, end, value)."""
+    step = lambda acc, m: F.struct(
+        (acc["at"] + F.char_length(m["g"]) + F.char_length(m["h"]) + F.char_length(m["v"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(
+            (acc["at"] + F.char_length(m["g"])).alias("start"),
+            (acc["at"] + F.char_length(m["g"]) + F.char_length(m["h"]) + F.char_length(m["v"])).alias("end"),
+            m["v"].alias("value")))).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"),
+                    F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    return F.aggregate(found, zero, step)["out"]
+
+
+def find_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """Add base (spans with their values) and candidates (start, end, value)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # texts without any opening of a kind skip its pattern
+    scan = lambda needs, before, value: F.when(
+        text.rlike(needs), _place(_matches(text, before, value))).otherwise(
+        F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    assign = F.filter(scan(ASSIGN + VALUE, ASSIGN, VALUE), lambda s: F.char_length(s["value"]) >= 6)
+    kinds = [assign, scan(ACCESS, "", ACCESS), scan(HEX, "", HEX)]
+    base = F.array_sort(F.concat(*[F.transform(k, _tagged(i)) for i, k in enumerate(kinds)]))
+    mixed = "(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + CANDIDATE
+    out = docs.withColumn("_pw_base", base).withColumn("_pw_cand", scan(mixed, "", CANDIDATE))
+    return out.withColumn("_pw_cand", F.filter("_pw_cand", lambda c: c["value"].rlike("[0-9]")
+                                               & c["value"].rlike("[A-Za-z]") & ~F.exists(
+        F.col("_pw_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+
+
+def _tagged(kind: int):
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
+                              s["value"].alias("value"))
+
+
+def _bigrams(samples: DataFrame) -> dict[tuple[int, int], int]:
+    """Counts of neighbouring characters by place in the alphabet (0: none of it)."""
+    pairs = samples.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length("value") - 1, F.lit(1))), lambda i: F.substring("value", i, F.lit(2))
+    )).alias("p")).filter(F.char_length("p") == 2)
+    code = lambda c: F.instr(F.lit(ALPHABET), c)
+    rows = (pairs.groupBy("p").count().groupBy(code(F.substring("p", 1, 1)).alias("a"), code(F.substring("p", 2, 1)).alias("b"))
+            .agg(F.sum("count").alias("n")).collect())
+    return {(r.a, r.b): r.n for r in rows}
+
+
+def train(random: DataFrame, ordinary: DataFrame) -> list[float] | None:
+    """Log-likelihood ratio of each character after each, smoothed; None if a
+    sample is empty. Samples have a column ``value``."""
+    import math
+    counts = [_bigrams(random), _bigrams(ordinary)]
+    if not counts[0] or not counts[1]:
+        return None
+    size = len(ALPHABET) + 1
+    logs = []
+    for c in counts:
+        rows = [sum(c.get((a, b), 0) for b in range(size)) for a in range(size)]
+        logs.append([math.log((c.get((a, b), 0) + 0.5) / (rows[a] + 0.5 * size))
+                     for a in range(size) for b in range(size)])
+    return [x - y for x, y in zip(*logs)]
+
+
+def _ratio(value: Column, model: list[float]) -> Column:
+    """Mean log-likelihood ratio per character pair."""
+    size = len(ALPHABET) + 1
+    table_ = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    step = lambda acc, c: F.struct(
+        c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(
+            F.element_at(table_, acc["last"] * size + c + 1))).alias("sum"))
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).cast("double").alias("sum"))
+    return F.aggregate(codes, zero, step)["sum"] / F.greatest(F.char_length(value) - 1, F.lit(1))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                 max_samples: int = MAX_SAMPLES, model: list[float] | None = None, keep_text: bool = False,
+                 others: list[str] | None = None) -> DataFrame:
+    """(id, all_spans array<struct<start,end,kind>>, n_assign, n_access, n_hex, n_markov,
+    base_sha256, spans) of every row; kind is a place in KINDS."""
+    # with keep_text, the text and the other columns (inside one struct, so names cannot clash) travel along
+    kept = ([F.col("text").alias("_pw_text"), F.col("_pw_other")] if keep_text else [])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in others or []] or [F.lit(0)]).alias("_pw_other")]
+                         if keep_text else []))
+    seen = stage(find_spans(rows, "text").select("doc_id", *kept, "_pw_base", "_pw_cand",
+                         F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")),
+                                                               F.lit("[A-Za-z]{14,}"), F.lit(0)))
+                         .alias("_pw_words")), "secret-spans")
+    if model is None:
+        bounded = lambda values: (seen.select(F.explode(values).alias("value")).distinct()
+                                  .orderBy(F.xxhash64("value"), "value").limit(max_samples))
+        model = train(bounded(F.col("_pw_base.value")), bounded(F.col("_pw_words")))
+    empty = F.array().cast(SPAN)
+    shape = lambda s, k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("kind"))
+    added = empty if model is None else F.transform(
+        F.filter("_pw_cand", lambda c: _ratio(c["value"], model) >= threshold), lambda s: shape(s, F.lit(3)))
+    text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+        ":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"].cast("string"),
+        s["end"].cast("string"))))
+    count = lambda k: F.size(F.filter("_pw_all", lambda s: s["kind"] == k)).cast("long")
+    base = F.transform("_pw_base", lambda s: shape(s, s["kind"]))
+    return (seen.withColumn("_pw_all", F.array_sort(F.concat(base, added), _by_start_then_kind))
+            .select("doc_id", *(["_pw_text", "_pw_other"] if keep_text else []), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                    F.sha2(text(F.array_sort(base, _by_start_then_kind)), 256).alias("base_sha256"),
+                    text(F.col("_pw_all")).alias("spans"), count(3).alias("n_markov"),
+                    F.col("_pw_all").alias("all_spans")))
+
+
+def _by_start_then_kind(a: Column, b: Column) -> Column:
+    x, y = (F.struct(s["start"], s["kind"], s["end"]) for s in (a, b))
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
+def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """Text with every covered run of characters replaced by the mask; spans sorted by start."""
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] >= acc["at"], F.concat(
+            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
+        .otherwise(acc["out"]).alias("out"))
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]",
+                   length_col: str | None = None) -> DataFrame:
+    """``docs`` with the same rows and columns, secrets masked in the text. Rows
+    without any are unchanged, null texts stay null; ``length_col``, if given,
+    is set to the new length of a changed text."""
+    found = scan_secrets(docs, id_col, text_col, keep_text=True, others=[c for c in docs.columns
+                                                                        if c not in (id_col, text_col)])
+    text = F.when(F.size("all_spans") > 0, redact(F.col("_pw_text"), F.col("all_spans"), mask)).otherwise(F.col("_pw_text"))
+    out = found.withColumn("_pw_new", text)
+    cols = []
+    for c in docs.columns:
+        if c == id_col:
+            cols.append(F.col("doc_id").alias(c))
+        elif c == text_col:
+            cols.append(F.col("_pw_new").alias(c))
+        elif c == length_col:
+            cols.append(F.when(F.size("all_spans") > 0, F.char_length("_pw_new").cast("long"))
+                        .otherwise(F.col(f"_pw_other.`{c}`")).alias(c))
+        else:
+            cols.append(F.col(f"_pw_other.`{c}`").alias(c))
+    return out.select(*cols)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
