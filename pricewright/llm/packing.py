@@ -177,9 +177,9 @@ def pack(docs: DataFrame, vocab: str, seq_len: int = SEQ_LEN, quantum: int = QUA
     from pyspark.sql import Window
     key = (queue if queue is not None else F.col("source"))
     w = Window.partitionBy("_q").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    begins = (parts.withColumn("_q", key)
-              .withColumn("base", F.coalesce(F.sum("in_part").over(w), F.lit(0)))
-              .select(F.col("source").alias("_s"), F.col("part").alias("_p"), "base"))
+    begins = stage(parts.withColumn("_q", key)
+                   .withColumn("base", F.coalesce(F.sum("in_part").over(w), F.lit(0)))
+                   .select(F.col("source").alias("_s"), F.col("part").alias("_p"), "base"), "queue-begins")
     placed = (toks.join(begins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
               .select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "ids"))
     from tokenizers import Tokenizer
