@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm._common import join_hot, small_batches, stage, table
+from pricewright.llm._common import batches_of, join_hot, small_batches, stage, table
 from pricewright.llm.graph import components
 
 BAND = 1.3              # ratio of the sizes of a band
@@ -224,9 +224,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     left = (size.join(mine, size.a == mine.id).select(
         "a", F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     right = dealt.join(mine, dealt.b == mine.id).select("a", "part", "b", F.col("text").alias("tb"))
-    small_batches(spark, 200)
-    return stage(right.join(left, ["a", "part"]).select("a", "b", "ta", "tb")
-                 .mapInArrow(_verify(n, percent), "a long, b long"), "links")
+    with batches_of(spark, 200):
+        return stage(right.join(left, ["a", "part"]).select("a", "b", "ta", "tb")
+                     .mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

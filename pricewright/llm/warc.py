@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm._common import shared_path, shuffle_width, small_batches, stage, table
+from pricewright.llm._common import batches_of, shared_path, shuffle_width, stage, table
 
 RECORDS_PER_FILE = 2000
-EPOCH = "2020-01-01 00:00:00"
+EPOCH = 1_577_836_800      # capture time of page 0; each page is a second later
 # What the archive format calls things.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,8 +81,8 @@ def records(pages: DataFrame, row_key: Column, min_bytes: int = 0) -> DataFrame:
         F.lit("WARC-Type: response\r\n"))
     refers = F.when(revisit, F.concat(F.lit("X-Refers-To-Page: "), F.coalesce(F.col("keep").cast("string"), F.lit("-")),
                                       F.lit("\r\n"))).otherwise("")
-    when = F.date_format(F.timestampadd("SECOND", F.coalesce("page_id", F.lit(0)) % (1 << 30),
-                                        F.to_timestamp(F.lit(EPOCH))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)) % (1 << 30))
+    when = F.date_format(F.to_utc_timestamp(second, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uid = F.md5(F.concat_ws("/", F.col("page_id").cast("string"), "url", "digest", F.col("row").cast("string")))
     uuid = F.concat_ws("-", F.substring(uid, 1, 8), F.substring(uid, 9, 4), F.substring(uid, 13, 4),
                        F.substring(uid, 17, 4), F.substring(uid, 21, 12))
@@ -165,10 +165,10 @@ def _read(batches):
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Captures of the archives below a path, each archive's in order."""
-    small_batches(spark, 4)       # one row is one whole archive
     files = spark.read.format("binaryFile").load(path).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(_read, INDEX)
+    with batches_of(spark, 1):       # one row is one whole archive
+        return stage(files.mapInArrow(_read, INDEX), "warc-runs")
 
 
 # ---- index
@@ -241,6 +241,6 @@ def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", "_metadata.file_name", "_metadata.row_index")
     write_archives(pages, path, F.struct("file_name", "row_index"))
-    out = merged_index(stage(read_runs(spark, path), "warc-runs"))
+    out = merged_index(read_runs(spark, path))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured",
                       "archive", "record_offset", "record_length")
