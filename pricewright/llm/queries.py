@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricewright.llm import bpe, exact_dedup, ngram_join, near_vectors, packing, quality, secrets, toxicity, warc
+from pricewright.llm import bpe, exact_dedup, ngram_join, near_vectors, packing, quality, secrets, suffix_dedup, toxicity, warc
 
 QUERIES = {f.__name__: f for f in (
     ngram_join.op1_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES = {f.__name__: f for f in (
     packing.op7_mixture_packing,
     bpe.op8_bpe_round_trip,
     toxicity.op9_toxicity,
+    suffix_dedup.op10_suffix_array_dedup,
 )}
 
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}

@@ -26,9 +26,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -316,38 +318,76 @@ def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarr
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text",
-             max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """(id, score, predicted, and the evidence) for every row of ``docs``.
-    ``held_out`` is a condition on the id; rows that meet it teach nothing."""
-    spark = docs.sparkSession
-    small_batches(spark)
+@dataclass
+class Model:
+    words: dict[str, float]
+    stems: dict[str, float]
+    weights: list[float]
+
+    def scorer(self):
+        """Function of a text: (score, evidence); holds one task's lexicon."""
+        lexicon, clean, w = FuzzyLexicon(self.words, self.stems), set(), np.array(self.weights)
+
+        def score(text: str | None) -> tuple:
+            x = evidence(lexicon, text or "", clean)
+            z = float(np.dot(w[:-1], x) + w[-1])
+            return (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), *x)
+        return score
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text",
+                 max_fit_rows: int = MAX_FIT_ROWS) -> Model:
+    """Learn from the rows of ``labels`` (doc_id, toxic) that do not meet ``held_out``, a condition on the id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("_id IS NOT NULL AND toxic IS NOT NULL")
              .groupBy("_id").agg(F.when(F.max("toxic") == 1, 1).otherwise(0).alias("toxic")))
     if held_out is not None:
         known = known.filter(~held_out(F.col("_id")))
-    known = stage(known, "toxic-labels")
-    words, stems = learn_lexicon(texts.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    labelled = texts.join(stage(known, "toxic-labels"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    words, stems = learn_lexicon(labelled)
 
     def run(batches):
-        lexicon, clean = FuzzyLexicon(words, stems), set()
+        score = Model(words, stems, [0.0] * 5).scorer()
         for b in batches:
-            got = [evidence(lexicon, t or "", clean) for t in b["text"].to_pylist()]
+            got = [score(t)[1:] for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"]] + [pa.array([g[k] for g in got], pa.float64()) for k in range(4)],
-                names=["doc_id", *FEATURES])
-    kind = dict(texts.dtypes)["doc_id"]
-    seen = stage(texts.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES)), "toxic-seen")
-    fit = (seen.join(known, F.col("doc_id") == F.col("_id")).select(*FEATURES, "toxic", F.xxhash64("_id").alias("h"))
-           .orderBy("h").limit(max_fit_rows).toPandas())
-    w = fit_regression(fit[FEATURES].to_numpy(float), fit["toxic"].to_numpy(float))
-    z = F.lit(float(w[-1]))
-    for name, v in zip(FEATURES, w):
-        z = z + F.lit(float(v)) * F.col(name)
-    score = 1 / (1 + F.exp(-z))
-    return seen.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+                [b["h"], b["toxic"]] + [pa.array([g[k] for g in got], pa.float64()) for k in range(4)],
+                names=["h", "toxic", *FEATURES])
+    seen = labelled.select(F.xxhash64("doc_id").alias("h"), "toxic", "text").mapInArrow(
+        run, "h long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+    fit = seen.orderBy("h", *FEATURES).limit(max_fit_rows).toPandas()
+    return Model(words, stems, fit_regression(fit[FEATURES].to_numpy(float), fit["toxic"].to_numpy(float)).tolist())
+
+
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, predicted, and the evidence) of every row."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches):
+        score = model.scorer()
+        for b in batches:
+            got = [score(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"]] + [pa.array([g[k] for g in got], pa.float64()) for k in range(5)],
+                names=["doc_id", "score", *FEATURES])
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return (rows.mapInArrow(run, f"doc_id {kind}, score double, " + ", ".join(f"{f} double" for f in FEATURES))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = model.scorer()
+        for texts in parts:
+            yield pd.Series([f(t)[0] for t in texts], dtype="float64")
+    return docs.filter(score(F.col(text_col).cast("string")) < 0.5)
 
 
 def in_fold(id_col, folds: int, fold: int):
@@ -356,5 +396,7 @@ def in_fold(id_col, folds: int, fold: int):
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: in_fold(i, 5, 0))
-    return out.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", *FEATURES)
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: in_fold(i, 5, 0))
+    return score_toxicity(docs, model).select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+                                              "predicted", *FEATURES)
