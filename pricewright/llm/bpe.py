@@ -38,7 +38,8 @@ from pricewright.llm._common import small_batches, table
 # Fixed value: the piece pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 4096            # bytes added to the buffer of a long piece at a time
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
+NONE = 1 << 60          # rank of a pair that does not merge
 LONG_PIECE = 48         # longer pieces are not kept
 TEXT_PART = 1 << 20     # characters split into pieces at a time
 
@@ -95,9 +96,10 @@ class Transducer:
         self.vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         merges = [(raw(a), raw(b)) for a, b in pairs]
-        self.rank = {m: r for r, m in reversed(list(enumerate(merges)))}
+        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in reversed(list(enumerate(merges)))}
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self.single = [self.vocab[bytes([b])] for b in range(256)]
         self.lookahead = lookahead(merges)
-        self.longest = max(map(len, self.vocab))
         self.bytes_of = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -108,47 +110,50 @@ class Transducer:
         self.kept: dict[str, tuple] = {}
 
     # -- tokens of one piece
-    def merge(self, data: bytes) -> list[bytes]:
-        """All merges of a byte string by rank, leftmost first among equals."""
-        if data in self.vocab and len(data) < 2:
-            return [data]
-        rank = self.rank
-        parts = [data[i:i + 1] for i in range(len(data))]
-        if len(parts) <= 24:
-            while len(parts) > 1:
-                ranks = [rank.get(p, -1) for p in zip(parts, parts[1:])]
-                best = min((r for r in ranks if r >= 0), default=-1)
-                if best < 0:
-                    break
-                i, out = 0, []
-                while i < len(parts):
-                    if i < len(ranks) and ranks[i] == best:
-                        out.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        out.append(parts[i])
-                        i += 1
-                parts = out
-            return parts
-        n = len(parts)
+    def merge(self, data: bytes) -> list[int]:
+        """Ids after all merges of a byte string, by rank, leftmost first among equals."""
+        get, made = self.pairs.get, self.made
+        ids = list(map(self.single.__getitem__, data))
+        ranks = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        if len(ids) > 64:
+            return self._merge_long(ids, ranks)
+        while ranks:
+            r = min(ranks)
+            if r == NONE:
+                break
+            i = ranks.index(r)
+            ids[i:i + 2] = [made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same with a heap of pairs, for byte strings of any length."""
+        get, made, n = self.pairs.get, self.made, len(ids)
         nxt, prv, dead = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i, r in enumerate(ranks) if r != NONE]
         heapq.heapify(heap)
+
+        def offer(i):
+            if i >= 0 and nxt[i] < n and (r := get(ids[i] << 20 | ids[nxt[i]], NONE)) != NONE:
+                heapq.heappush(heap, (r, i))
+
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = nxt[i]
-            if dead[i] or j >= n or parts[i] != a or parts[j] != b:
+            if dead[i] or j >= n or get(ids[i] << 20 | ids[j], NONE) != r:
                 continue
-            parts[i] = a + b
+            ids[i] = made[r]
             dead[j] = 1
             nxt[i] = nxt[j]
             if nxt[i] < n:
                 prv[nxt[i]] = i
-                if (r := rank.get((parts[i], parts[nxt[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[nxt[i]]))
-            if (h := prv[i]) >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [p for p, d in zip(parts, dead) if not d]
+            offer(i)
+            offer(prv[i])
+        return [t for t, d in zip(ids, dead) if not d]
 
     def stream(self, data: bytes) -> Iterator[list[int]]:
         """Ids of one piece, emitted as they become stable."""
@@ -158,17 +163,18 @@ class Transducer:
             at += max(BLOCK, self.lookahead)
             tokens = self.merge(buf)
             if at >= len(data):
-                yield [self.vocab[t] for t in tokens]
+                yield tokens
                 return
             end, k, limit = 0, 0, len(buf) - self.lookahead
-            while k < len(tokens) and end + len(tokens[k]) <= limit:
-                end += len(tokens[k])
+            while k < len(tokens) and end + len(self.bytes_of[tokens[k]]) <= limit:
+                end += len(self.bytes_of[tokens[k]])
                 k += 1
-            yield [self.vocab[t] for t in tokens[:k]]
+            yield tokens[:k]
             buf = buf[end:]
 
     def _piece(self, piece: str) -> tuple:
-        ids = [i for part in self.stream(piece.encode()) for i in part]
+        data = piece.encode()
+        ids = self.merge(data) if len(data) <= BLOCK else [i for part in self.stream(data) for i in part]
         out = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
         if len(piece) <= LONG_PIECE:
             if len(self.kept) >= CACHE_PIECES:
