@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors of its hashed features: words, the
-characters n-grams of each word, and pairs of neighbouring words (a word that
-repeats the one before it is one feature of its own). A softmax layer on the
+character n-grams (of UTF-8 bytes, the blank around a word included), and pairs
+of neighbouring words (a word that repeats the one before it is one feature of
+its own). A softmax layer on the
 mean gives the class. Vectors and layer are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows (``per_class`` of each
 class, chosen by hash). As everything after training is linear, scoring needs
-one number per bucket: the sum of a word's buckets is kept per word, and the
-whole text of every document is scored in one pass.
+one number per bucket, and the whole text of every document is scored in one
+pass of array operations.
 
 Labels, language, source and id are never inputs. Defined results: null and
 empty texts have no features and score the base rate of the training rows.
@@ -16,8 +17,6 @@ none). Duplicate rows are scored each; extra columns are ignored."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,43 +27,95 @@ from pricewright.llm.toxicity import in_fold
 
 BUCKETS = 1 << 18
 DIM = 16
-GRAMS = (3, 4)
+GRAMS = (3, 5)          # in bytes
 PER_CLASS = 2000
 EPOCHS = 5
 RATE = 0.5
-LONGEST = 40            # only the first and last 20 characters of longer words give n-grams
-CACHE_WORDS = 200_000
+PART = 1 << 18          # bytes whose features are hashed at a time
 
 
-def word_buckets(word: str) -> list[int]:
-    shown = f"<{word}>" if len(word) <= LONGEST else f"<{word[:LONGEST // 2]}{word[-LONGEST // 2:]}>"
-    data = [zlib.crc32(word.encode())]
-    for n in GRAMS:
-        data += [zlib.crc32(shown[i:i + n].encode(), n) for i in range(len(shown) - n + 1)]
-    return [d % BUCKETS for d in data]
+def _byte_codes() -> np.ndarray:
+    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTE = _byte_codes()
+POWER = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
+
 
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
-def pair_buckets(codes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words, given the words' hashes; 1 for a repeated word."""
-    a, b = codes[:-1], codes[1:]
-    return np.where(a == b, 1, ((a * np.int64(0x9E3779B1)) ^ (b * np.int64(0x85EBCA77))) >> 7 & (BUCKETS - 1))
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the list, bucket) of every feature of some texts."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    code = BYTE[np.where(blank, 32, data)]
+    where, bucket = [], []
+
+    def add(at, b):
+        where.append(np.searchsorted(ends, at, "right"))
+        bucket.append(b)
+
+    solid = ~blank
+    for n in GRAMS:
+        inner = solid[1:len(data) - n + 2].copy()      # the first and last byte may be the blank around a word
+        for i in range(2, n - 1):
+            inner &= solid[i:len(data) - n + 1 + i]
+        at = np.flatnonzero(inner[:max(0, len(data) - n + 1)])
+        h = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0x100000001B3) + code[at + i]
+        add(at, _bucket(h, n))
+    first = np.flatnonzero(solid[1:] & blank[:-1]) + 1
+    if len(first):
+        last = np.flatnonzero(solid[:-1] & blank[1:]) + 1
+        body = np.flatnonzero(solid)
+        word = np.repeat(first, last - first)
+        begins = np.cumsum(last - first) - (last - first)
+        h = np.add.reduceat(code[body] * POWER[(body - word) % 64], begins)
+        add(first, _bucket(h, 1))
+        doc = np.searchsorted(ends, first, "right")
+        same = doc[1:] == doc[:-1]
+        a, b = h[:-1][same], h[1:][same]
+        add(first[1:][same], np.where(a == b, 1, _bucket(a * np.uint64(31) + b, 7)))
+    return np.concatenate(where), np.concatenate(bucket)
+
+
+def chunks(texts: list[str | None]):
+    """Parts of texts, about PART bytes at a time: (their places in the list, the
+    parts). A longer text is cut at a blank, or where PART ends without one."""
+    ids, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        at = 0
+        while True:
+            end = len(raw) if len(raw) - at <= PART else (raw.rfind(b" ", at + 1, at + PART) if
+                                                          raw.find(b" ", at + 1, at + PART) >= 0 else at + PART)
+            ids.append(i)
+            parts.append(raw[at:end])
+            size += end - at + 1
+            at = end
+            if size >= PART:
+                yield ids, parts
+                ids, parts, size = [], [], 0
+            if at >= len(raw):
+                break
+    if ids:
+        yield ids, parts
 
 
 def _features(batches):
     """Distinct buckets of a text and how often each occurs."""
-    known: dict[str, np.ndarray] = {}
     for b in batches:
+        texts = b["text"].to_pylist()
         ids, counts = [], []
-        for t in b["text"].to_pylist():
-            words = (t or "").split()
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in set(words) - known.keys():
-                known[w] = np.array(word_buckets(w), np.uint32)
-            parts = [known[w] for w in words]
-            codes = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
-            parts.append(pair_buckets(codes).astype(np.uint32))
-            u, n = np.unique(np.concatenate(parts), return_counts=True)
+        for t in texts:
+            got = [features(parts)[1] for _, parts in chunks([t])]
+            u, n = np.unique(np.concatenate(got), return_counts=True)
             ids.append(u.astype("<u4").tobytes())
             counts.append(n.astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays(
@@ -104,34 +155,16 @@ def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11)
 
 def _scorer(weights: np.ndarray, bias: float, offset: float):
     def run(batches):
-        known: dict[str, int] = {}
-        table = np.zeros((CACHE_WORDS, 3))       # sum of a word's weights, number of buckets, hash
         for b in batches:
-            scores = []
-            for t in b["text"].to_pylist():
-                words = (t or "").split()
-                total = n = 0.0
-                last = None
-                for i in range(0, len(words), CACHE_WORDS // 4):
-                    part = words[i:i + CACHE_WORDS // 4]
-                    new = set(part) - known.keys()
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = set(part)
-                    for w in new:
-                        ids = word_buckets(w)
-                        table[len(known)] = weights[ids].sum(), len(ids), zlib.crc32(w.encode())
-                        known[w] = len(known)
-                    got = table[np.fromiter(map(known.__getitem__, part), np.int64, len(part))]
-                    codes = got[:, 2].astype(np.int64)
-                    if last is not None:
-                        codes = np.concatenate([[last], codes])
-                    last = codes[-1]
-                    pairs = pair_buckets(codes)
-                    total += got[:, 0].sum() + weights[pairs].sum(dtype=np.float64)
-                    n += got[:, 1].sum() + len(pairs)
-                z = (total / n + bias if n else 0.0) + offset
-                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            texts = b["text"].to_pylist()
+            total, n = np.zeros(len(texts)), np.zeros(len(texts))
+            for ids, parts in chunks(texts):
+                where, bucket = features(parts)
+                ids = np.array(ids)[where]
+                total += np.bincount(ids, weights[bucket], len(texts))
+                n += np.bincount(ids, minlength=len(texts))
+            z = np.where(n > 0, total / np.maximum(n, 1) + bias, 0.0) + offset
+            scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
     return run
 
