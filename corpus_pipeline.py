@@ -13,7 +13,7 @@ from pricewright.llm._common import stage, table
 from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.ngram_join import ngram_join
 from pricewright.llm.packing import pack
-from pricewright.llm.secrets import redact_secrets
+from pricewright.llm.secret_scan import redact_secrets
 from pricewright.llm.toxicity import fit_toxicity, in_fold, without_toxic
 
 NGRAM_WORDS = 5

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ SEQ_LEN = 4096
 QUANTUM = 256
 END_ID = 2
 MAX_QUEUES = 4096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+CACHE_CORES = 500_000
 CHUNK = 50_000        # words looked up at a time
 LONG_WORD = 64        # longer ones are not kept
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -40,24 +42,35 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class WordIds:
-    """Token ids of texts by a vocabulary that drops white space: a text is
-    split at blanks and line feeds, and the ids of each distinct word are kept
-    in a table of bounded size."""
+    """Token ids of texts by a vocabulary that drops white space and letter case.
+
+    A text is split at blanks and line feeds; the ids of each distinct word are
+    kept in a table of bounded size. A new word is its core and the marks of
+    punctuation behind it, which the vocabulary's pattern always parts; ASCII
+    cores are looked up in lower case."""
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(vocab)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool) if suffix else np.zeros(0, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return b"".join(self._part(words[i:i + CHUNK]) for i in range(0, len(words), CHUNK))
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        out = []
+        for w in words:
+            try:
+                out.append(b"".join(map(self.known.__getitem__, w)))
+            except KeyError:
+                out.append(b"".join([self._part(w[i:i + CHUNK]) for i in range(0, len(w), CHUNK)]))
+        return out
 
     def _part(self, words: list[str]) -> bytes:
         known = self.known
@@ -66,27 +79,61 @@ class WordIds:
             known.clear()
             known[""] = b""
             new = [w for w in dict.fromkeys(words) if w]
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
+        split = {}
+        for w in new:
+            core = w.rstrip(".,;:!?")
+            if len(core) == len(w) or not core or not core[-1].isalnum():
+                core = w
+            split[w] = (core.lower() if core.isascii() and "<|" not in core else core, w[len(core):])
+        self._learn({x for pair in split.values() for x in pair if x not in self.cores})
+        for w, (core, tail) in split.items():
+            known[w] = self.cores[core] + self.cores[tail]
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
+        if len(self.cores) > CACHE_CORES:
+            self.cores = {"": b""}
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        """Words of letters alone are one unit of the vocabulary's pattern, and
+        the last token of a unit is marked as such: they go in one call."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or w.lower().isalpha())] if len(self.ends) else []
+        if plain:
+            ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(plain):
+                data, at = ids.tobytes(), 0
+                for w, e in zip(plain, (ends * self.dtype.itemsize).tolist()):
+                    self.cores[w] = data[at:e]
+                    at = e
+        rest = [w for w in words if w not in self.cores]
+        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
+            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        return self.texts([text])[0]
+
+
+@lru_cache(maxsize=1)
+def word_ids(vocab: str) -> WordIds:
+    return WordIds(vocab)
+
 
 def _tokens(vocab: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = WordIds(vocab)
+        enc = word_ids(vocab)
         end = np.array([end_id], enc.dtype).tobytes()
-        wide = np.dtype(enc.dtype).itemsize
+        wide = enc.dtype.itemsize
         at: dict = {}
         for b in batches:
             ids, start, n = [], [], []
-            for t, s in zip(b["text"].to_pylist(), b["source"].to_pylist()):
-                blob = enc(t or "") + end
+            blobs = enc.texts([t or "" for t in b["text"].to_pylist()])
+            for blob, s in zip(blobs, b["source"].to_pylist()):
+                blob += end
                 m = len(blob) // wide
                 ids.append(blob)
                 start.append(at.get(s, 0))
@@ -119,36 +166,50 @@ def served_before(queue: int, unit: np.ndarray, totals: list[int], quantum: int)
 def _cut(totals: list[int], names: dict, seq_len: int, quantum: int, wide: str):
     """Pieces of each document: it is cut where its queue's units end unless
     the next unit follows directly, and where sequences end."""
-    def pieces(doc, source, at, n, blob, out):
-        q = names.get(source, len(totals) - 1)
-        unit = np.arange(at // quantum, (at + n - 1) // quantum + 1)
-        lo = np.maximum(unit * quantum, at)
-        hi = np.minimum((unit + 1) * quantum, at + n)
-        place = served_before(q, unit, totals, quantum) + (lo - unit * quantum)
-        new = np.ones(len(unit), bool)
-        new[1:] = place[1:] != place[:-1] + (hi - lo)[:-1]
+    def pieces(queue: int, at: np.ndarray, n: np.ndarray):
+        """(row, start, place, length) for documents of one queue."""
+        units = (at + n - 1) // quantum - at // quantum + 1
+        row = np.repeat(np.arange(len(at)), units)
+        unit = np.arange(len(row)) - np.repeat(np.cumsum(units) - units, units) + (at // quantum)[row]
+        lo = np.maximum(unit * quantum, at[row])
+        size = np.minimum((unit + 1) * quantum, (at + n)[row]) - lo
+        place = served_before(queue, unit, totals, quantum) + (lo - unit * quantum)
+        new = np.ones(len(row), bool)
+        new[1:] = (place[1:] != place[:-1] + size[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
-        start, place = lo[first] - at, place[first]
-        length = np.add.reduceat(hi - lo, first)
-        ids = np.frombuffer(blob, wide)
-        for s, p, m in zip(start.tolist(), place.tolist(), length.tolist()):
-            while m:
-                k = min(m, seq_len - p % seq_len)
-                out.append((doc, s, k, zlib.crc32(ids[s:s + k].astype("<u4").tobytes()), n, p // seq_len,
-                            p % seq_len, source))
-                s, p, m = s + k, p + k, m - k
+        row, start, place, size = row[first], (lo - at[row])[first], place[first], np.add.reduceat(size, first)
+        # and at the ends of sequences
+        parts = (place + size - 1) // seq_len - place // seq_len + 1
+        r = np.repeat(np.arange(len(row)), parts)
+        k = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.maximum(place[r], (place[r] // seq_len + k) * seq_len)
+        end = np.minimum((place + size)[r], (place[r] // seq_len + k + 1) * seq_len)
+        return row[r], start[r] + begin - place[r], begin, end - begin
 
     def run(batches: Iterator[pa.RecordBatch]):
-        fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
         for b in batches:
-            out: list = []
-            for doc, source, at, n, blob in zip(*(b[c].to_pylist() for c in ("doc_id", "source", "at", "n", "ids"))):
-                pieces(doc, source, at, n, blob, out)
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.string())],
-                    names=fields + ["source"])
+            at, n = (b[c].to_numpy() for c in ("at", "n"))
+            queue = np.array([names.get(s, len(totals) - 1) for s in b["source"].to_pylist()])
+            found = []
+            for q in np.unique(queue).tolist():
+                own = np.flatnonzero(queue == q)
+                row, *rest = pieces(q, at[own], n[own])
+                found.append((own[row], *rest))
+            if not found:
+                continue
+            row, start, place, size = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((start, row))
+            row, start, place, size = row[order], start[order], place[order], size[order]
+            blobs, crc, last, ids = b["ids"], [], -1, b""
+            for r, s, m in zip(row.tolist(), (4 * start).tolist(), (4 * size).tolist()):
+                if r != last:
+                    last, ids = r, memoryview(np.frombuffer(blobs[r].as_buffer(), wide).astype("<u4").tobytes())
+                crc.append(zlib.crc32(ids[s:s + m]))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"].take(take), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), b["n"].take(take),
+                 pa.array(place // seq_len), pa.array(place % seq_len), b["source"].take(take)], names=fields)
     return run
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pricewright.llm import bpe, exact_dedup, ngram_join, near_vectors, packing, quality, secrets, suffix_dedup, toxicity, warc
+from pricewright.llm import bpe, exact_dedup, ngram_join, near_vectors, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 
 QUERIES = {f.__name__: f for f in (
     ngram_join.op1_ngram_jaccard_join,
     warc.op2_warc_index_merge,
     near_vectors.op3_embedding_near_dedup,
-    secrets.op4_secret_scan,
+    secret_scan.op4_secret_scan,
     quality.op5_quality_classifier,
     exact_dedup.op6_exact_dedup,
     packing.op7_mixture_packing,
