@@ -19,6 +19,7 @@ An empty table gives no pieces."""
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.llm._common import small_batches, stage, table
+from pricewright.llm.bpe import byte_symbols
 
 SEQ_LEN = 4096
 QUANTUM = 256
@@ -46,8 +48,11 @@ class WordIds:
 
     A text is split at blanks and line feeds; the ids of each distinct word are
     kept in a table of bounded size. A new word is its core and the marks of
-    punctuation behind it, which the vocabulary's pattern always parts; ASCII
-    cores are looked up in lower case."""
+    punctuation behind it, which the vocabulary's pattern always parts; cores
+    are kept too, for longer. A core of Latin letters alone is one unit of the
+    pattern and goes straight to the library's model in lower case, as the
+    library's own steps before it would hand it over; all others go through
+    those steps."""
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
@@ -55,10 +60,10 @@ class WordIds:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool) if suffix else np.zeros(0, bool)
-        if suffix:
-            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tok.model
+        # the model reads bytes as printable characters
+        self.symbols = {b: c for b, c in enumerate(byte_symbols())}
         self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
 
@@ -73,44 +78,47 @@ class WordIds:
         return out
 
     def _part(self, words: list[str]) -> bytes:
-        known = self.known
+        known, cores = self.known, self.cores
         new = [w for w in dict.fromkeys(words) if w not in known]
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             known[""] = b""
             new = [w for w in dict.fromkeys(words) if w]
-        split = {}
         for w in new:
-            core = w.rstrip(".,;:!?")
-            if len(core) == len(w) or not core or not core[-1].isalnum():
-                core = w
-            split[w] = (core.lower() if core.isascii() and "<|" not in core else core, w[len(core):])
-        self._learn({x for pair in split.values() for x in pair if x not in self.cores})
-        for w, (core, tail) in split.items():
-            known[w] = self.cores[core] + self.cores[tail]
+            ids = cores.get(w)
+            if ids is None:
+                core = w.rstrip(".,;:!?")
+                if len(core) < len(w) and core and core[-1].isalnum():
+                    ids = self._core(core) + self._core(w[len(core):])
+                else:
+                    ids = self._core(w)
+            known[w] = ids
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
-        if len(self.cores) > CACHE_CORES:
-            self.cores = {"": b""}
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Words of letters alone are one unit of the vocabulary's pattern, and
-        the last token of a unit is marked as such: they go in one call."""
-        plain = [w for w in words if w.isalpha() and (w.isascii() or w.lower().isalpha())] if len(self.ends) else []
-        if plain:
-            ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(plain):
-                data, at = ids.tobytes(), 0
-                for w, e in zip(plain, (ends * self.dtype.itemsize).tolist()):
-                    self.cores[w] = data[at:e]
-                    at = e
-        rest = [w for w in words if w not in self.cores]
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
-            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
+    def _core(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            w = w.lower()
+        ids = self.cores.get(w)
+        if ids is None:
+            ids = array(self.code, self._encode(w)).tobytes()
+            if len(w) <= LONG_WORD:
+                if len(self.cores) >= CACHE_CORES:
+                    self.cores.clear()
+                    self.cores[""] = b""
+                self.cores[w] = ids
+        return ids
+
+    def _encode(self, w: str) -> list[int]:
+        if w.isalpha():
+            if w.isascii():
+                return [t.id for t in self.model.tokenize(w)]
+            if max(w) < "\u0250" and "\u0130" not in w and (low := w.lower()).isalpha():
+                return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.symbols))]
+        return self.tok.encode(w, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
         return self.texts([text])[0]
