@@ -35,8 +35,8 @@ SEQ_LEN = 4096
 QUANTUM = 256
 END_ID = 2
 MAX_QUEUES = 4096
-CACHE_WORDS = 300_000
-CACHE_CORES = 500_000
+CACHE_WORDS = 250_000
+CACHE_CORES = 350_000
 CHUNK = 50_000        # words looked up at a time
 LONG_WORD = 64        # longer ones are not kept
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
