@@ -20,7 +20,8 @@ drop most of them; the rest is verified exactly on the whole texts.
 
 Only connections are needed, so a key's documents are first compared with its
 least document (a star); documents of a key that then lie in different
-components are compared pairwise. Copies (equal sets) are one node throughout.
+components are compared with each other inside tasks that send on a spanning
+forest of the links they find. Copies (equal sets) are one node throughout.
 
 Defined results: null, empty and blank texts have no n-grams and link with
 nothing; with fewer words than n, the whole sequence is one n-gram. A null id
@@ -47,6 +48,7 @@ SLACK = 0.2             # share of segments that may be left out
 CHANCE = 5e4            # documents of a band times the cost of a chance match, in keys
 PARITY_WORDS = 16       # 64 bits each
 SEEN = 200_000          # sets remembered by a task, to emit the keys of copies once
+BLOCK = 1500            # documents of a key that a task compares with as many others
 HUB_ROWS = 500          # pairs that share a copy of one text in verification
 BROADCAST_IDS = 1_000_000   # candidate ids are broadcast up to this number (8 MB)
 
@@ -229,6 +231,72 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                      .mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
 
+def _sets(n: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, n).astype("<u8").tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sets, pa.binary())], names=["id", "set"])
+    return run
+
+
+def _link(percent: int):
+    """Links of one pair of blocks of a key: a spanning forest, not all pairs."""
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp, block = (t[c].to_pylist() for c in ("id", "comp", "block"))
+        sets = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        bits = np.stack([parity(x).view(np.uint64) for x in sets])
+        block = np.array(block)
+        across = block.min() != block.max()
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i in range(len(ids) - 1):
+            rest = slice(i + 1, len(ids))
+            total = size[i] + size[rest]
+            ok = np.minimum(size[i], size[rest]) * 100 >= np.maximum(size[i], size[rest]) * percent
+            if across:
+                ok &= block[rest] != block[i]
+            near = np.flatnonzero(ok)
+            differ = np.bitwise_count(bits[i] ^ bits[rest][near]).sum(1, dtype=np.int64)
+            for j in (near[differ * (100 + percent) <= total[near] * (100 - percent)] + i + 1).tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        parent[x] = y
+                        out.append((ids[i], ids[j]))
+        cols = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+    return run
+
+
+def _link_mixed(mixed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between documents (key, id, comp) that share a key but not yet a
+    component. A key's documents are dealt into blocks of about BLOCK, and each
+    task compares two blocks, so no task holds a whole large key."""
+    ids = stage(mixed.select("id").distinct(), "mixed-ids")
+    few = ids.count() <= BROADCAST_IDS
+    sets = stage(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+                 .mapInArrow(_sets(n), "id long, set binary"), "mixed-sets")
+    same = (mixed.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"),
+                                     F.count(F.lit(1)).alias("size"))
+            .groupBy("x", "y", "size").agg(F.min("key").alias("key")))
+    chosen = stage(same.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-keys")
+    dealt = (join_hot(mixed, chosen, "key", "size")
+             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", "id", "comp", "block", F.least("block", "other").alias("lo"),
+                     F.greatest("block", "other").alias("hi")))
+    return stage(dealt.join(sets, "id").groupBy("key", "lo", "hi").applyInArrow(_link(percent), "a long, b long"), "links")
+
+
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and parity bitmaps allow the similarity."""
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"),
@@ -271,19 +339,12 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
                  "ngram-star")
     first = verified(_bounded(star, nodes, percent), texts, n, percent)
     found = components(first).withColumnRenamed("component", "comp")
-    # keys whose documents are not all connected yet
-    placed = (groups.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+    # keys whose documents are not all connected yet; of keys with the same documents one will do
+    placed = groups.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     w = Window.partitionBy("key")
     mixed = stage(placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w))
-                  .filter("lo <> hi").select("key", "id", "comp")
-                  .join(nodes.select("id", "n"), "id"), "ngram-mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-                   & (F.col("x.comp") != F.col("y.comp"))
-                   & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    second = verified(_bounded(rest, nodes, percent), texts, n, percent)
+                  .filter("lo <> hi").select("key", "id", "comp"), "ngram-mixed")
+    second = _link_mixed(mixed, texts, n, percent) if mixed.take(1) else first.limit(0)
     joined = components(first.union(second))
     named = (copy_of.join(joined, copy_of.node == joined.id, "left")
              .select(copy_of.id.alias("_id"), F.coalesce("component", "node").alias("component"), "node"))
