@@ -20,8 +20,8 @@ drop most of them; the rest is verified exactly on the whole texts.
 
 Only connections are needed, so a key's documents are first compared with its
 least document (a star); documents of a key that then lie in different
-components are compared with each other inside tasks that send on a spanning
-forest of the links they find. Copies (equal sets) are one node throughout.
+components are compared inside tasks, which send on the most promising pairs,
+in rounds until none is left untried. Copies (equal sets) are one node throughout.
 
 Defined results: null, empty and blank texts have no n-grams and link with
 nothing; with fewer words than n, the whole sequence is one n-gram. A null id
@@ -37,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm._common import batches_of, join_hot, small_batches, stage, table
@@ -49,6 +49,7 @@ CHANCE = 5e4            # documents of a band times the cost of a chance match,
 PARITY_WORDS = 16       # 64 bits each
 SEEN = 200_000          # sets remembered by a task, to emit the keys of copies once
 BLOCK = 1500            # documents of a key that a task compares with as many others
+PER_ROUND = 64          # pairs a document tries per key, foreign component and round
 HUB_ROWS = 500          # pairs that share a copy of one text in verification
 BROADCAST_IDS = 1_000_000   # candidate ids are broadcast up to this number (8 MB)
 
@@ -231,70 +232,85 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                      .mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
 
-def _sets(n: int):
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t, n).astype("<u8").tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sets, pa.binary())], names=["id", "set"])
-    return run
-
-
-def _link(percent: int):
-    """Links of one pair of blocks of a key: a spanning forest, not all pairs."""
-    def run(t: pa.Table) -> pa.Table:
-        ids, comp, block = (t[c].to_pylist() for c in ("id", "comp", "block"))
-        sets = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
-        size = np.array([len(x) for x in sets])
-        bits = np.stack([parity(x).view(np.uint64) for x in sets])
-        block = np.array(block)
+def _nearest(percent: int):
+    """Pairs of one pair of blocks of a key that may be similar and lie in
+    different components: for each document and foreign component the PER_ROUND
+    with the least difference by parity, of those not tried before."""
+    def run(t: pa.Table, tried: pa.Table) -> pa.Table:
+        empty = pa.table({k: pa.array([], pa.int64()) for k in ("key", "lo", "hi", "a", "b")})
+        if t.num_rows < 2:
+            return empty
+        t = t.sort_by("id")
+        ids, comp, block, size = (t[c].to_numpy() for c in ("id", "comp", "block", "n"))
+        bits = np.array(t["bits"].to_pylist(), np.int64).view(np.uint64)
+        before: dict[int, set] = {}
+        for x, y in zip(tried["a"].to_pylist(), tried["b"].to_pylist()):
+            before.setdefault(x, set()).add(y)
         across = block.min() != block.max()
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
         out = []
         for i in range(len(ids) - 1):
             rest = slice(i + 1, len(ids))
             total = size[i] + size[rest]
-            ok = np.minimum(size[i], size[rest]) * 100 >= np.maximum(size[i], size[rest]) * percent
+            ok = (comp[rest] != comp[i]) & (np.minimum(size[i], size[rest]) * 100
+                                            >= np.maximum(size[i], size[rest]) * percent)
             if across:
                 ok &= block[rest] != block[i]
             near = np.flatnonzero(ok)
             differ = np.bitwise_count(bits[i] ^ bits[rest][near]).sum(1, dtype=np.int64)
-            for j in (near[differ * (100 + percent) <= total[near] * (100 - percent)] + i + 1).tolist():
-                x, y = find(comp[i]), find(comp[j])
-                if x != y:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (size[i] + size[j] - both):
-                        parent[x] = y
-                        out.append((ids[i], ids[j]))
-        cols = list(zip(*out)) or [(), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+            fits = differ * (100 + percent) <= total[near] * (100 - percent)
+            near, differ = near[fits] + i + 1, differ[fits]
+            taken: dict[int, int] = {}
+            done = before.get(int(ids[i]), ())
+            for j in near[np.argsort(differ, kind="stable")].tolist():
+                c, y = int(comp[j]), int(ids[j])
+                if y not in done and taken.get(c, 0) < PER_ROUND:
+                    taken[c] = taken.get(c, 0) + 1
+                    out.append((int(ids[i]), y))
+        if not out:
+            return empty
+        pairs = list(zip(*out))
+        same = {k: pa.array([t[k][0].as_py()] * len(out), pa.int64()) for k in ("key", "lo", "hi")}
+        return pa.table({**same, "a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
     return run
 
 
-def _link_mixed(mixed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between documents (key, id, comp) that share a key but not yet a
-    component. A key's documents are dealt into blocks of about BLOCK, and each
-    task compares two blocks, so no task holds a whole large key."""
-    ids = stage(mixed.select("id").distinct(), "mixed-ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = stage(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-                 .mapInArrow(_sets(n), "id long, set binary"), "mixed-sets")
-    same = (mixed.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"),
-                                     F.count(F.lit(1)).alias("size"))
-            .groupBy("x", "y", "size").agg(F.min("key").alias("key")))
-    chosen = stage(same.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-keys")
-    dealt = (join_hot(mixed, chosen, "key", "size")
-             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", "id", "comp", "block", F.least("block", "other").alias("lo"),
-                     F.greatest("block", "other").alias("hi")))
-    return stage(dealt.join(sets, "id").groupBy("key", "lo", "hi").applyInArrow(_link(percent), "a long, b long"), "links")
+def _link_mixed(groups: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``links`` and what is missing for the components of all documents that
+    share a key. A key's documents are dealt into blocks of about BLOCK, and each
+    task compares two blocks, so no task holds a whole large key. A round tries
+    the most promising pairs of different components; rounds go on until no
+    untried pair is left, so nothing is dropped."""
+    spark = groups.sparkSession
+    tried = None
+    w = Window.partitionBy("key")
+    while True:
+        found = components(links).withColumnRenamed("component", "comp")
+        placed = groups.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = stage(placed.withColumn("least", F.min("comp").over(w)).withColumn("most", F.max("comp").over(w))
+                      .filter("least <> most").select("key", "id", "comp"), "ngram-mixed")
+        if not mixed.take(1):
+            return links
+        # of keys with the same documents one will do
+        same = (mixed.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"),
+                                         F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("size"))
+                .groupBy("x", "y", "size").agg(F.min("key").alias("key")))
+        chosen = stage(same.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-keys")
+        dealt = (join_hot(mixed, chosen, "key", "size")
+                 .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("key", "id", "comp", "block", F.least("block", "other").cast("long").alias("lo"),
+                         F.greatest("block", "other").cast("long").alias("hi")).join(nodes, "id"))
+        schema = "key long, lo long, hi long, a long, b long"
+        known = tried if tried is not None else spark.createDataFrame([], schema)
+        new = stage(dealt.groupBy("key", "lo", "hi").cogroup(known.groupBy("key", "lo", "hi"))
+                    .applyInArrow(_nearest(percent), schema), "ngram-tried")
+        if not new.take(1):
+            return links
+        pairs = new.select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        links = stage(links.unionByName(verified(pairs, texts, n, percent)), "links")
+        tried = new if tried is None else stage(tried.unionByName(new), "ngram-tried")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -323,7 +339,6 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     copy_of = stage(join_hot(live.select("id", "digest"), copies.select("digest", "node", "size"), "digest", "size")
                     .select("id", "node").distinct(), "ngram-copies")
 
-    from pyspark.sql import Window
     keys = texts.filter("id IS NOT NULL").mapInArrow(_emit(n, percent), "key long, id long, slack int")
     shared = stage(keys.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key")))
                    .filter("times > 1"), "ngram-keys")
@@ -338,14 +353,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     star = stage(groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
                  "ngram-star")
     first = verified(_bounded(star, nodes, percent), texts, n, percent)
-    found = components(first).withColumnRenamed("component", "comp")
-    # keys whose documents are not all connected yet; of keys with the same documents one will do
-    placed = groups.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    w = Window.partitionBy("key")
-    mixed = stage(placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w))
-                  .filter("lo <> hi").select("key", "id", "comp"), "ngram-mixed")
-    second = _link_mixed(mixed, texts, n, percent) if mixed.take(1) else first.limit(0)
-    joined = components(first.union(second))
+    joined = components(_link_mixed(groups.select("key", "id"), first, nodes, texts, n, percent))
     named = (copy_of.join(joined, copy_of.node == joined.id, "left")
              .select(copy_of.id.alias("_id"), F.coalesce("component", "node").alias("component"), "node"))
     named = named.groupBy("_id").agg(F.min("component").alias("component"), F.min("node").alias("node"))
