@@ -35,7 +35,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 MAX_SAMPLES = 5000
-THRESHOLD = 0.4          # nats per character by which the random model must be better
+THRESHOLD = 0.1          # nats per character by which the random model must be better; pairs new to both models count 0
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
