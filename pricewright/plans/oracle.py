@@ -682,9 +682,8 @@ from pricewright.operators.enrich import INSTRUCTIONS  # noqa: E402
 
 _KEY = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in ORD.split(", ")) + ")"
 EXTRA_CTES["todo"] = f"""SELECT * FROM uniq WHERE {_blank_token('compatible_make')} OR {_blank_token('part_type')}"""
-EXTRA_CTES["batched"] = f"""SELECT *, CAST(bucket AS BIGINT) * 1000000000 + rn // 15 AS batch_id, CAST(rn % 15 AS INTEGER) AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {ORD}) - 1 AS rn FROM (
-    SELECT *, CAST(CAST(('0x' || substr(md5({_KEY}), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS bucket FROM todo))"""
+EXTRA_CTES["batched"] = f"""SELECT *, place // 15 AS batch_id, CAST(place % 15 AS INTEGER) AS pos FROM (
+  SELECT *, row_number() OVER (ORDER BY substr(md5({_KEY}), 1, 4), {ORD}) - 1 AS place FROM todo)"""
 EXTRA_CTES["shaped"] = """SELECT *, l_partkey % 4 AS v, batch_id % 7 = 3 AS bare FROM batched"""
 
 
