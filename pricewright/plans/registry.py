@@ -797,9 +797,13 @@ def detail_pages(spark, d):
 @query
 def detail_prices(spark, d):
     from pricewright.operators.extract import detail_prices as dp
-    pages = detail_pages(spark, d)
-    out = dp(pages.select("page_id", "html"))
-    return out.join(pages.select("page_id", *ORD_COLS), "page_id").select(
+    return dp(detail_pages(spark, d)).select(*ORD_COLS, "price", "original_price", "available", "description")
+
+
+@query
+def detail_prices_inline(spark, d):
+    from pricewright.operators.extract import detail_prices as dp
+    return dp(detail_pages(spark, d), mode="inline").select(
         *ORD_COLS, "price", "original_price", "available", "description")
 
 
