@@ -765,5 +765,12 @@ def oracle_pages() -> dict:
           concat('https://shop.example/shop/', l_partkey, '-', l_suppkey % 4) AS product_url,
           {a} AS price_pkr, {b} AS price_original_pkr, {avail} AS available
         FROM texts""")
+    layout = "l_linenumber % 6"     # sale pair, amount, JSON-LD, meta tag, currency text, sold out
+    detail = """SELECT {ORD}, CASE WHEN {k} {priced} THEN l_extendedprice ELSE 0.0 END AS price,
+          {original} AS original_price, {k} <> 5 AS available, trim(part_name) AS description FROM listings"""
+    q["detail_prices"] = with_("listings", body=detail.format(
+        ORD=ORD, k=layout, priced="<> 5",
+        original=f"CASE WHEN {layout} = 0 THEN round(l_extendedprice * 1.2 * 100) / 100 ELSE 0.0 END"))
+    q["detail_prices_inline"] = with_("listings", body=detail.format(ORD=ORD, k=layout, priced="< 3", original="0.0"))
     q["page_detail_robustness"] = "SELECT page_id, 0.0 AS price, 0.0 AS original_price FROM pages"
     return q
