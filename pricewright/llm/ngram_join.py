@@ -93,6 +93,18 @@ def most_different(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
+def _chance(size: int, m: int, c: int) -> float:
+    """Cost of the chance matches of a set of this size. Unrelated sets share the
+    keys of segments that are empty in both; a set leaves out its first c empty
+    ones, so what counts is how many it has beyond them (Poisson)."""
+    mean = m * math.exp(-size / m)
+    p, beyond = math.exp(-mean), mean - c
+    for k in range(c):
+        beyond += (c - k) * p
+        p *= mean / (k + 1)
+    return CHANCE * max(0.0, beyond) ** 2 / m
+
+
 @lru_cache(maxsize=None)
 def bands(percent: int, upto: int) -> tuple:
     """(low, high, H, m, c, deletions) of the bands up to a size."""
@@ -105,8 +117,7 @@ def bands(percent: int, upto: int) -> tuple:
             h = most_different(high + high * 100 // percent, percent)
         c = math.ceil(SLACK * (h + 1))
         whole, halves = h + 1 + c, -(-(h + 1) // 2)
-        chance = lambda m: CHANCE * m * math.exp(-2 * low / m)
-        deletions = high + halves + chance(halves) < whole + chance(whole)
+        deletions = high + halves + _chance(low, halves, 0) < whole + _chance(low, whole, c)
         out.append((low, high, h, halves if deletions else whole, 0 if deletions else c, deletions))
         low = high + 1
     return tuple(out)
