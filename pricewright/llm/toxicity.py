@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
 1. Lexicon: over all labelled training rows, document counts per class of every
-   word and word beginning; of near copies (same least hash of the long words)
-   one counts. Words whose excess in toxic documents is large and whose
+   word and word beginning. Near copies (rows of a class that share a band of
+   minima of their word pairs with a hub row and agree with it in most minima)
+   count once for each term that any of them has. Words whose excess in toxic documents is large and whose
    precision is high enter the lexicon; a beginning that keeps its precision
    while many words branch off it enters as a stem. Later rounds look only at
    toxic documents in which the lexicon so far finds nothing.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm._common import small_batches, stage, table
+from pricewright.llm._common import join_hot, small_batches, stage, table
+from pricewright.llm.ngram_join import shingles
 
 WORD = re.compile(r"\w+")
 LONGEST_WORD = 40          # longer ones are not words of a lexicon
@@ -46,6 +47,8 @@ MIN_STEM_PRECISION = 0.88
 MAX_TERMS = 2000           # terms of the lexicon, best first
 ROUNDS = 3
 MAX_FIT_ROWS = 20_000      # labelled rows of the final regression, by hash
+MINIMA, BAND = 64, 4       # independent minima of a text's word pairs, in bands of so many
+NEAR = 45                  # minima in which a row agrees with the one it is a near copy of
 WINDOW = 6
 # Words of reporting, and opening and closing quote marks.
 CUES = frozenset("said says say quote quoted quotes wrote writes called word words term terms means phrase "
@@ -152,6 +155,12 @@ class FuzzyLexicon:
         return (-min(hits)[1], min(hits)[0]) if hits else None
 
 
+def _terms(text: str | None) -> set[str]:
+    """The words, after a blank, and word beginnings of a text."""
+    words = {w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= LONGEST_WORD}
+    return {" " + w for w in words} | {w[:n] for n in STEM_LENGTHS for w in words if len(w) >= n}
+
+
 def _count_terms(batches):
     """Documents per word ('w') and word beginning ('s') and class, summed per task."""
     seen = {0: Counter(), 1: Counter()}
@@ -169,25 +178,90 @@ def _count_terms(batches):
 
     for b in batches:
         for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
-            words = {w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= LONGEST_WORD}
-            seen[toxic].update([" " + w for w in words])
-            for n in STEM_LENGTHS:
-                seen[toxic].update({w[:n] for w in words if len(w) >= n})
+            seen[toxic].update(_terms(text))
         if len(seen[0]) + len(seen[1]) > 400_000:
             yield from flush()
     yield from flush()
 
 
-def _families(batches):
-    """A key that near copies mostly share: the least hash of the long words."""
+def _family_terms(batches):
+    """Words and word beginnings per family and class, each once per task."""
+    seen: dict[tuple, set] = {}
+
+    def flush():
+        rows = [(f, c, t) for (f, c), terms in seen.items() for t in terms]
+        seen.clear()
+        for i in range(0, len(rows), 50_000):
+            f, c, t = zip(*rows[i:i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(c, pa.int32()), pa.array(t, pa.string())],
+                                             names=["family", "toxic", "term"])
+
+    held = 0
     for b in batches:
-        keys = []
-        for t in b["text"].to_pylist():
-            words = set(WORD.findall((t or "").lower()))
-            keys.append(min([zlib.crc32(w.encode()) for w in words if len(w) >= 8] or
-                            [zlib.crc32(w.encode()) for w in words] or [0]))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(keys, pa.int64())],
-                                         names=["doc_id", "toxic", "family"])
+        for text, *key in zip(b["text"].to_pylist(), b["family"].to_pylist(), b["toxic"].to_pylist()):
+            terms = seen.setdefault(tuple(key), set())
+            held -= len(terms)
+            terms |= _terms(text)
+            held += len(terms)
+            if held > 400_000:
+                yield from flush()
+                held = 0
+    yield from flush()
+
+
+_FACTORS = np.random.default_rng(9).integers(0, 2 ** 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(text: str | None) -> np.ndarray:
+    """Least values of the word pairs under independent hashes; without words all are the largest value."""
+    least = np.full(MINIMA, 2 ** 64 - 1, np.uint64)
+    pairs = shingles(text, 2)
+    for i in range(0, len(pairs), 2000):
+        least = np.minimum(least, (pairs[i:i + 2000, None] * _FACTORS).min(0))
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def _signatures(batches):
+    for b in batches:
+        got = [minima(t) for t in b["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["node"], b["doc_id"], b["toxic"], pa.array([m.tobytes() for m in got], pa.binary())],
+                                         names=["node", "doc_id", "toxic", "minima"])
+
+
+def _near(batches):
+    """Those of the pairs whose minima agree."""
+    for b in batches:
+        ok = [int((np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).sum()) >= NEAR
+              for x, y in zip(b["mine"].to_pylist(), b["other"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([b["node"], b["hub"]], names=["node", "hub"]).filter(pa.array(ok, pa.bool_()))
+
+
+def families(labelled: DataFrame) -> DataFrame:
+    """(node, doc_id, toxic, family, alone): a node is a distinct text of a class,
+    doc_id one of its rows. Nodes that share a band are compared with the least of
+    them; a node joins the family of the least it is a near copy of. Similarity is
+    not passed on from node to node, so all of a family are like one text."""
+    kind = dict(labelled.dtypes)["doc_id"]
+    nodes = (labelled.mapInArrow(_signatures, f"node long, doc_id {kind}, toxic int, minima binary")
+             .groupBy("node", "toxic").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"),
+                                           F.max("minima").alias("minima")))
+    nodes = stage(nodes, "toxic-nodes")
+    bands = [F.xxhash64(F.lit(i), "toxic", F.expr(f"substring(minima, {4 * BAND * i + 1}, {4 * BAND})"))
+             for i in range(MINIMA // BAND)]
+    keys = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
+    hubs = stage(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
+                 "toxic-hubs")
+    pairs = stage(join_hot(keys, hubs, "key", "n").filter("node <> hub").select("node", "hub").distinct(), "toxic-pairs")
+    sizes = stage(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+                  .join(nodes.select(F.col("node").alias("hub"), F.col("minima").alias("other")), "hub"), "toxic-hubs")
+    both = join_hot(pairs, sizes, "hub", "n").join(nodes.select("node", F.col("minima").alias("mine")), "node")
+    found = (both.select("node", "hub", "mine", "other").mapInArrow(_near, "node long, hub long")
+             .groupBy("node").agg(F.min("hub").alias("hub")))
+    placed = stage(nodes.drop("minima").join(found, "node", "left").withColumn("family", F.coalesce("hub", "node"))
+                   .drop("hub"), "toxic-families")
+    size = stage(placed.groupBy("family").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n")), "toxic-families")
+    return stage(join_hot(placed.drop("n"), size, "family", "n")
+                 .select("node", "doc_id", "toxic", "family", (F.col("rows") == 1).alias("alone")), "toxic-families")
 
 
 def _pick(rows: list, n: dict, words: dict, stems: dict) -> None:
@@ -211,17 +285,21 @@ def _pick(rows: list, n: dict, words: dict, stems: dict) -> None:
 
 def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and stems from rows (doc_id, text, toxic 0/1)."""
-    kind = dict(labelled.dtypes)["doc_id"]
-    chosen = stage(labelled.mapInArrow(_families, f"doc_id {kind}, toxic int, family long")
-                   .groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id")).drop("family"), "toxic-families")
-    n = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    node = F.xxhash64("text", "toxic").alias("node")
+    chosen = families(labelled.select(node, "doc_id", "toxic", "text"))
+    n = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     if not n.get(0) or not n.get(1):
         return words, stems
-    rows = labelled.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
-    count = lambda df: (df.mapInArrow(_count_terms, "term string, bad long, good long")
-                        .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    rows = stage(labelled.select(node, "doc_id", "text").join(chosen, ["doc_id", "node"])
+                 .select("text", "toxic", "family", "alone"), "toxic-rows")
+
+    def count(df: DataFrame) -> DataFrame:
+        single = df.filter("alone").mapInArrow(_count_terms, "term string, bad long, good long")
+        shared = (df.filter("NOT alone").mapInArrow(_family_terms, "family long, toxic int, term string").distinct()
+                  .select("term", F.col("toxic").cast("long").alias("bad"), (1 - F.col("toxic")).cast("long").alias("good")))
+        return single.unionByName(shared).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     every = stage(count(rows), "toxic-terms")
     counts, toxic = every, n[1]
     least = MIN_EXCESS + 2 * math.log(n[0] + n[1])
@@ -238,9 +316,8 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, floa
         _pick(found, {0: n[0], 1: toxic}, words, stems)
         if len(words) + len(stems) >= MAX_TERMS:
             break
-        silent = stage(rows.filter("toxic = 1").mapInArrow(_without_hit(words, stems), "text string, toxic int"),
-                       "toxic-silent")
-        toxic = silent.count()
+        silent = stage(rows.filter("toxic = 1").mapInArrow(_without_hit(words, stems), rows.schema), "toxic-silent")
+        toxic = silent.select("family").distinct().count()
         if toxic < 3:
             break
         counts = count(silent).drop("good").join(every.select("term", "good"), "term")

@@ -253,6 +253,25 @@ def test_scores_of_odd_tables(spark):
     assert toxicity.without_toxic(df, model).count() == 4
 
 
+def test_lexicon_counts_every_row_but_near_copies_once(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+    text = lambda *more: " ".join([*more, *(word() for _ in range(30))])
+    # different texts that share one long word
+    rows = [(i, text("commonword", *["grobnik"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(160)]
+    # near copies of one toxic text, of which only some have a term of others
+    copy = " ".join(text() for _ in range(5)).split()
+    for i in range(40):
+        rows.append((1000 + i, " ".join([*copy[:i], word(), *copy[i + 1:], *["grobnik"] * (i % 2)]), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = toxicity.families(df.select(F.xxhash64("text", "toxic").alias("node"), "doc_id", "toxic", "text"))
+    got = {r.doc_id: (r.family, r.alone) for r in found.collect()}
+    assert len({got[i][0] for i in range(160)}) == 160 and all(got[i][1] for i in range(160))
+    assert len({got[1000 + i][0] for i in range(40)}) == 1 and not got[1000][1]
+    words, stems = toxicity.learn_lexicon(df)
+    assert set(words) | set(stems) in ({"grobnik"}, {"grob"})
+
+
 def test_fuzzy_lexicon():
     lex = toxicity.FuzzyLexicon({"stupid": 3.0, "pathetic": 2.0, "scum": 4.0}, {"vequ": 1.0})
     assert lex.match("stupid") == (3.0, 0) and lex.match("stupld") == (3.0, 1) and lex.match("stuppid") == (3.0, 1)
