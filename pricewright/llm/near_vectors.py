@@ -2,19 +2,20 @@
 
 1. Copies (same label, same components) become one node with a count.
 2. Each label's vectors are cut into cells by k-means centres fitted on a
-   bounded sample (``SAMPLE`` vectors by hash, per round); every vector joins
-   the shards of its ``OVERLAP`` nearest centres. Cells that are still too
-   large are cut again, so a label may hold any part of the rows.
-3. Each shard builds a flat graph: candidate neighbours by similarity, then
+   bounded sample (``SAMPLE`` vectors by hash, per round). The nearest centre is
+   a vector's home; it also visits every cell whose border is within the
+   threshold's angle, so that any pair in reach meets at the home of each side.
+   Cells that are still too large are cut again, with their visitors, so a
+   label may hold any part of the rows.
+3. Each cell builds a flat graph of the vectors at home there: candidate neighbours by similarity, then
    robust pruning (a candidate goes if a chosen neighbour is ``ALPHA`` times
    nearer to it than the node is).
-4. The adjacency lists of a node from its shards are united.
-5. Each shard answers for all its members: greedy beam search from the medoid
-   on the united lists, then the range expands from what was found (and from the
-   node itself) as long as neighbours stay within reach.
-6. Pairs found are verified by cosine in double precision. Two vectors can meet
-   in several shards; the least common one counts the pair. Shards send counts
-   and a spanning forest, never all pairs.
+4. Each cell answers for its members and visitors, dealt into blocks: greedy
+   beam search from the medoid, then the range expands from what was found (and
+   from the node itself) as long as neighbours stay within reach.
+5. Pairs found are verified by cosine in double precision. A node's link counts
+   at the other node's home, so once. Blocks send counts and a spanning forest,
+   never all pairs.
 
 The graph search may miss pairs; ``audit_recall`` measures it against brute
 force (queries: ids divisible by 100, against all rows).
@@ -26,8 +27,11 @@ An empty table gives an empty result."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ from pricewright.llm.graph import components
 SHARD = 600             # vectors per centre aimed at
 CAPACITY = 4000         # a shard above this is cut again
 SAMPLE = 16_384         # vectors that centres are fitted on, per round
-OVERLAP = 3
+QUERIES = 4000          # vectors that a task looks up in a cell
 ROUNDS = 6
 DEGREE = 24
 POOL = 72               # candidate neighbours before pruning
@@ -68,32 +72,36 @@ def _fit(points: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-def _assign(centres: dict[str, np.ndarray], overlap: int):
+def _assign(centres: dict[str, np.ndarray], margin: float):
     def run(batches):
         for b in batches:
-            cells, ids, vecs, counts = [], [], [], []
-            for cell in set(b["cell"].to_pylist()):
-                own = np.flatnonzero(np.array([c == cell for c in b["cell"].to_pylist()]))
-                at = [b["vec"][int(i)].as_py() for i in own]
-                near = unit(at) @ centres[cell].T
-                take = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
-                for i, v, row in zip(own.tolist(), at, take.tolist()):
-                    for j in row:
-                        cells.append(f"{cell}/{j}")
-                        ids.append(b["id"][i].as_py())
-                        vecs.append(v)
-                        counts.append(b["n"][i].as_py())
+            cells, rows, home = [], [], []
+            names = np.array(b["cell"].to_pylist(), object)
+            for cell in set(names.tolist()):
+                own = np.flatnonzero(names == cell)
+                c = centres[cell]
+                near = unit([b["vec"][int(i)].as_py() for i in own]) @ c.T
+                best = near.argmax(1)
+                apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+                # what lies beyond the plane between two centres is at least as far as the plane
+                reach = near[np.arange(len(own)), best][:, None] - near <= margin * apart[best] + 1e-9
+                i, j = np.nonzero(reach)
+                cells += [f"{cell}/{x}" for x in j.tolist()]
+                rows += own[i].tolist()
+                home += (j == best[i]).tolist()
+            take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.string()), pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()),
-                 pa.array(counts, pa.int64())], names=["cell", "id", "vec", "n"])
+                [pa.array(cells, pa.string()), *(b[c].take(take) for c in ("id", "vec", "n")),
+                 pc.and_(b["home"].take(take), pa.array(home, pa.bool_()))], names=["cell", "id", "vec", "n", "home"])
     return run
 
 
-def shards(nodes: DataFrame) -> DataFrame:
-    """(cell, id, vec, n): nodes (cell, id, vec, n) dealt to the shards of their nearest centres."""
-    done, now = None, nodes
+def shards(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(cell, id, vec, n, home): nodes (cell, id, vec, n) at home in one cell and visiting those in reach."""
+    margin = math.sqrt(1 - threshold * threshold) if 0 <= threshold < 1 else 0.0 if threshold >= 1 else 2.0
+    done, now = None, nodes.withColumn("home", F.lit(True))
     for r in range(ROUNDS):
-        sizes = now.groupBy("cell").count()
+        sizes = now.filter("home").groupBy("cell").count()
         large = sizes.filter(F.col("count") > (SHARD if r == 0 else CAPACITY))
         big = stage(large, "vec-cells")
         if not big.take(1):
@@ -103,15 +111,15 @@ def shards(nodes: DataFrame) -> DataFrame:
         done = small if done is None else done.unionByName(small)
         sample: dict[str, list] = {}
         want: dict[str, int] = {}
-        for row in over.orderBy(F.xxhash64("id", "cell")).limit(SAMPLE).collect():
+        for row in over.filter("home").orderBy(F.xxhash64("id", "cell")).limit(SAMPLE).collect():
             sample.setdefault(row["cell"], []).append(row["vec"])
             want[row["cell"]] = row["count"]
         centres = {c: _fit(unit(v), -(-want[c] // SHARD)) for c, v in sample.items()}
         # a cell without a sampled vector waits for the next round
-        cut = over.filter(F.col("cell").isin(list(centres))).select("cell", "id", "vec", "n")
-        later = over.filter(~F.col("cell").isin(list(centres))).select("cell", "id", "vec", "n")
-        now = stage(cut.mapInArrow(_assign(centres, OVERLAP if r == 0 else 2), "cell string, id long, vec binary, n long")
-                    .unionByName(later).dropDuplicates(["cell", "id"]), "vec-shards")
+        cut = over.filter(F.col("cell").isin(list(centres))).select("cell", "id", "vec", "n", "home")
+        later = over.filter(~F.col("cell").isin(list(centres))).select("cell", "id", "vec", "n", "home")
+        now = stage(cut.mapInArrow(_assign(centres, margin), "cell string, id long, vec binary, n long, home boolean")
+                    .unionByName(later).dropDuplicates(["cell", "id", "home"]), "vec-shards")
     return now if done is None else done.unionByName(now)
 
 
@@ -148,37 +156,35 @@ def _build(t: pa.Table) -> pa.Table:
                 if len(out[j]) < 2 * DEGREE:
                     out[j].add(i)       # and back, so that all nodes can be reached
     return pa.table({"id": pa.array(ids, pa.int64()),
-                     "near": pa.array([ids[sorted(o)].tolist() for o in out], pa.list_(pa.int64()))})
-
-
-def _united(batch_lists: list) -> list[int]:
-    return sorted({x for part in batch_lists for x in part})
+                     "near": pa.array([ids[sorted(o)].tolist() for o in out], pa.list_(pa.int64())),
+                     "cell": pa.array([t["cell"][0].as_py()] * len(ids), pa.string())})
 
 
 def _search(threshold: float):
-    def run(t: pa.Table) -> pa.Table:
-        cell = t["cell"][0].as_py()
+    def run(t: pa.Table, asked: pa.Table) -> pa.Table:
         ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        if not len(ids) or not asked.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()),
+                             "root": pa.array([], pa.int64())})
         v = unit(t["vec"].to_pylist())
-        size = len(ids)
         place = {int(i): k for k, i in enumerate(ids)}
-        lists = [[place[x] for x in _united(p or []) if x in place] for p in t["near"].to_pylist()]
+        lists = [[place[x] for x in p if x in place] for p in t["near"].to_pylist()]
         wide = max([1, *map(len, lists)])
-        graph = np.full((size, wide), -1)
+        graph = np.full((len(ids), wide), -1)
         for k, row in enumerate(lists):
             graph[k, :len(row)] = row
-        shared = [set(c) for c in t["cells"].to_pylist()]
-        counts, links = np.zeros(size, np.int64), []
-        for lo in range(0, size, 256):
-            q = np.arange(lo, min(size, lo + 256))
-            hits = _range(v, graph, q, threshold - REACH)
-            a, b = q[hits[0]], hits[1]
+        names, w = asked["name"].to_numpy(), unit(asked["asked"].to_pylist())
+        own = np.array([place[int(i)] if h else -1 for i, h in zip(names, asked["own"].to_pylist())])
+        # nodes of the forest: first the cell's, then the asked ones
+        counts, links, size = np.zeros(len(names), np.int64), [], len(ids) + len(names)
+        for lo in range(0, len(names), 256):
+            hits = _range(v, graph, w[lo:lo + 256], own[lo:lo + 256], threshold - REACH)
+            a, b = hits[0] + lo, hits[1]
             # verify in double precision
-            ok = (a != b) & (np.einsum("ij,ij->i", v[a], v[b]) >= threshold)
-            for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-                if cell == min(shared[x] & shared[y]):
-                    counts[x] += n[y]
-                links.append((x, y))
+            ok = (names[a] != ids[b]) & (np.einsum("ij,ij->i", w[a], v[b]) >= threshold)
+            np.add.at(counts, a[ok], n[b[ok]])
+            links += zip((a[ok] + len(ids)).tolist(), b[ok].tolist())
+        every = np.concatenate([ids, names])
         parent = list(range(size))
 
         def find(x):
@@ -190,20 +196,22 @@ def _search(threshold: float):
             x, y = find(x), find(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        roots = [int(ids[find(k)]) for k in range(size)]
-        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(counts, pa.int64()),
+        roots = [int(every[find(k)]) for k in range(size)]
+        counts = np.concatenate([np.zeros(len(ids), np.int64), counts])
+        return pa.table({"id": pa.array(every, pa.int64()), "links": pa.array(counts, pa.int64()),
                          "root": pa.array(roots, pa.int64())})
     return run
 
 
-def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of q, node) pairs reached with similarity of at least ``floor``."""
+def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, node) pairs reached with similarity of at least ``floor``; ``own``
+    is the place of a queried vector among the nodes, or -1."""
     size, rows = len(v), np.arange(len(q))
     medoid = int((v @ v.mean(0)).argmax())
     seen = np.zeros((len(q), size), bool)
     # greedy: expand the BEAM best nodes of each query until they stay the same
     beam = np.full((len(q), 1), medoid)
-    score = (v[q] @ v[medoid])[:, None]
+    score = (q @ v[medoid])[:, None]
     done = np.zeros((len(q), size), bool)
     for _ in range(size):
         open_ = ~np.take_along_axis(done, beam, 1)
@@ -220,7 +228,7 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, floor: float) -> tup
         new = ~seen[rr, nn]
         rr, nn = rr[new], nn[new]
         seen[rr, nn] = True
-        s = np.einsum("ij,ij->i", v[q[rr]], v[nn])
+        s = np.einsum("ij,ij->i", q[rr], v[nn])
         best = np.full((len(q), BEAM), -1)
         top = np.full((len(q), BEAM), -3.0)
         rr, nn = np.concatenate([np.repeat(rows, beam.shape[1]), rr]), np.concatenate([beam.ravel(), nn])
@@ -239,10 +247,10 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, floor: float) -> tup
         beam, score = best, top
     # the range: from what the search found near, and from the node itself
     found = np.zeros((len(q), size), bool)
-    s = np.einsum("ijk,ik->ij", v[beam], v[q])
+    s = np.einsum("ijk,ik->ij", v[beam], q)
     r, c = np.nonzero(s >= floor)
     found[r, beam[r, c]] = True
-    found[rows, q] = True
+    found[rows[own >= 0], own[own >= 0]] = True
     r, c = np.nonzero(found)
     while len(r):
         nodes = graph[c]
@@ -252,7 +260,7 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, floor: float) -> tup
         rr, nn = code // size, code % size
         new = ~found[rr, nn]
         rr, nn = rr[new], nn[new]
-        near = np.einsum("ij,ij->i", v[q[rr]], v[nn]) >= floor
+        near = np.einsum("ij,ij->i", q[rr], v[nn]) >= floor
         r, c = rr[near], nn[near]
         found[r, c] = True
     return np.nonzero(found)
@@ -286,13 +294,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     rows = stage(usable(vectors, id_col, vec_col, label_col), "vec-rows")
     nodes = stage(rows.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size"),
                                           F.first("cell").alias("cell"), F.first("vec").alias("vec")), "vec-nodes")
-    member = shards(nodes.select("cell", F.col("node").alias("id"), "vec", F.col("size").alias("n")))
+    member = shards(nodes.select("cell", F.col("node").alias("id"), "vec", F.col("size").alias("n")), threshold)
     member = stage(member, "vec-members")
-    lists = member.select("cell", "id", "vec").groupBy("cell").applyInArrow(_build, "id long, near array<long>")
-    united = lists.groupBy("id").agg(F.collect_list("near").alias("near"))      # one list per shard of the node
-    cells = member.groupBy("id").agg(F.collect_set("cell").alias("cells"))
-    ready = member.join(united, "id").join(cells, "id")
-    found = stage(ready.groupBy("cell").applyInArrow(_search(threshold), "id long, links long, root long"), "vec-found")
+    at_home = member.filter("home").select("cell", "id", "vec", "n")
+    lists = at_home.select("cell", "id", "vec").groupBy("cell").applyInArrow(_build, "id long, near array<long>, cell string")
+    blocks = member.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    blocks = stage(blocks, "vec-blocks")
+    ready = (at_home.join(stage(lists, "vec-lists"), ["cell", "id"]).join(blocks, "cell")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+    asked = (member.select("cell", "id", "vec", "home").join(blocks, "cell")
+             .select(F.col("cell").alias("of"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"),
+                     F.col("id").alias("name"), F.col("vec").alias("asked"), F.col("home").alias("own")))
+    found = stage(ready.groupBy("cell", "block").cogroup(asked.groupBy("of", "part"))
+                  .applyInArrow(_search(threshold), "id long, links long, root long"), "vec-found")
     joined = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_node = (found.groupBy("id").agg(F.sum("links").alias("links"))
                 .join(joined, "id", "left").withColumnRenamed("id", "_node"))
