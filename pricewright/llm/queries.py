@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pricewright.llm import bpe, exact_dedup, ngram_join, near_vectors, packing, quality, secret_scan, suffix_dedup, toxicity, warc
+from pricewright.llm import (bpe, decontaminate, exact_dedup, ngram_join, near_vectors, packing, quality, secret_scan,
+                             suffix_dedup, toxicity, warc)
 
 QUERIES = {f.__name__: f for f in (
     ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     bpe.op8_bpe_round_trip,
     toxicity.op9_toxicity,
     suffix_dedup.op10_suffix_array_dedup,
+    decontaminate.op11_benchmark_decontamination,
 )}
 
-ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op11_benchmark_decontamination": decontaminate.OP11_SQL}
