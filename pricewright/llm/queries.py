@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricewright.llm import (bpe, decontaminate, exact_dedup, ngram_join, near_vectors, packing, periodic_runs, quality,
-                             secret_scan, suffix_dedup, toxicity, warc)
+from pricewright.llm import (bpe, conversation_repair, decontaminate, exact_dedup, ngram_join, near_vectors, packing,
+                             periodic_runs, quality, secret_scan, suffix_dedup, toxicity, warc)
 
 QUERIES = {f.__name__: f for f in (
     ngram_join.op1_ngram_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
     toxicity.op9_toxicity,
     suffix_dedup.op10_suffix_array_dedup,
     decontaminate.op11_benchmark_decontamination,
+    conversation_repair.op12_conversation_repair,
     periodic_runs.op13_periodic_runs,
 )}
 
