@@ -1,17 +1,20 @@
 """Price-model features as DataFrame operations.
 
-Every fitted lookup (frequencies, target means, ordinal codes, text
-vocabulary) is a small table computed by a grouped aggregate and joined
-back; nothing is collected to the driver except the <=300-term vocabulary.
+Every fitted lookup (frequencies, target means, ordinal codes) is a row of one
+table, computed by one grouped aggregate and joined back once per column;
+nothing is collected to the driver except the <=300-term vocabulary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import finite_positive, word_count
 from pricewright.operators.clean import normalise_missing
+from pricewright.operators.lookup import lookup_join
+from pricewright.operators.ranks import dealt, offsets, quantiles, with_rank
+from pricewright.session import materialize
 
 TARGET = "price_pkr"
 # Feature groups of the price model, in matrix order.
@@ -40,12 +43,10 @@ def positive_price(df: DataFrame) -> DataFrame:
 
 def quantile_bounds(df: DataFrame, lo: float = 0.01, hi: float = 0.99, col: str = TARGET,
                     exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """One row (q_lo, q_hi). Exact: linear-interpolated percentiles over
-    price counts (money has few distinct values, so the grouped input is
-    small); approximate: approx_percentile for unbounded value domains."""
+    """One row (q_lo, q_hi): exact linear-interpolated quantiles by distributed
+    selection, or approx_percentile."""
     if exact:
-        counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-        q = counts.agg(F.percentile(F.col(col), F.array(F.lit(lo), F.lit(hi)), F.col("_n")).alias("q"))
+        q = quantiles(df, col, [lo, hi])
     else:
         q = df.agg(F.approx_percentile(F.col(col), F.array(F.lit(lo), F.lit(hi)), accuracy).alias("q"))
     return q.select(F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
@@ -102,45 +103,47 @@ def price_mean_maps(df: DataFrame, cols=MEAN_COLS) -> DataFrame:
     return per.unionByName(glob)
 
 
-def ordinal_maps(df: DataFrame, cols=ORDINAL_COLS) -> DataFrame:
-    """(column, value, code): 0-based rank of the value among the sorted
-    distinct values of its column (binary string order).
-
-    The window runs over the distinct-values table, partitioned by column,
-    never over the row table."""
-    d = _long(df, cols).filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return d.withColumn("code", (F.dense_rank().over(w) - 1).cast("double"))
-
-
-def _lookup(df: DataFrame, maps: DataFrame, col: str, val_col: str, out: str, default) -> DataFrame:
-    m = maps.filter(F.col("column") == col).select(F.col("value").alias("_lk"), F.col(val_col).alias("_lv"))
-    j = df.join(m, F.col(col).cast("string") == F.col("_lk"), "left")
-    return j.withColumn(out, F.coalesce(F.col("_lv"), default)).drop("_lk", "_lv")
-
-
-def lookup_encode(df: DataFrame, freq: DataFrame, means: DataFrame) -> DataFrame:
-    """Frequencies (missing -> 0) and log1p target means (missing -> global).
-
-    Map tables hold one row per distinct value; the planner broadcasts them
-    when their measured size is under the threshold and shuffle-joins
-    otherwise."""
+def fit_maps(rows: DataFrame) -> DataFrame:
+    """Every lookup of the feature step in one table, from one pass over ``rows``:
+    (column, value, n, freq, mean_price, code), plus a ('*', null) row of all rows.
+
+    ``code`` is the 0-based rank of the value among the sorted distinct values of
+    its column (binary string order); null values have none."""
+    long = rows.select(F.col(TARGET).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in ORDINAL_COLS])).alias("kv"))
+    per = (long.groupBy("kv.column", "kv.value")
+           .agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_price"), F.sum("y").alias("sum")))
+    table = dealt(per, ["column"], "value")
+    known = F.col("value").isNotNull().cast("long")
+    one = table.filter(F.col("column") == ORDINAL_COLS[0])          # each column has every row once
+    total = one.agg(F.sum("n")).scalar()
+    whole = one.agg(F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("mean_price")).select(
+        F.lit("*").alias("column"), F.lit(None).cast("string").alias("value"), "n", F.lit(1.0).alias("freq"),
+        "mean_price", F.lit(None).cast("double").alias("code"))
+    ranked = with_rank(table, offsets(table, known), "value", known)
+    return materialize(ranked.select(
+        "column", "value", "n", (F.col("n") / total).alias("freq"), "mean_price",
+        F.when(F.col("value").isNotNull(), F.col("rank")).cast("double").alias("code")).unionByName(whole))
+
+
+def encode(df: DataFrame, maps: DataFrame, frequencies: bool = True, means: bool = True,
+           codes: bool = True) -> DataFrame:
+    """Frequencies (missing -> 0), log1p target means (missing -> the global mean) and ordinal codes
+    (missing -> -1) of the categorical columns: one join per column, whatever it has to bring."""
+    mean_of_all = maps.filter(F.col("column") == "*").select("mean_price").scalar()
     out = df
-    for c in FREQ_COLS:
-        out = _lookup(out, freq, c, "freq", f"{c}_freq", F.lit(0.0))
-    glob = means.filter(F.col("column") == "*").select("mean_price").scalar()
-    for c in MEAN_COLS:
-        out = _lookup(out, means, c, "mean_price", f"{c}_price_mean", glob)
-        out = out.withColumn(f"{c}_price_mean", F.log1p(f"{c}_price_mean"))
-    return out
-
-
-def ordinal_encode(df: DataFrame, codes: DataFrame, cols=ORDINAL_COLS) -> DataFrame:
-    """Replace each categorical with ``<col>_code``; unseen values -> -1."""
-    out = df
-    for c in cols:
-        out = _lookup(out, codes, c, "code", f"{c}_code", F.lit(-1.0))
-    return out
+    for c in ORDINAL_COLS:
+        new = {f"{c}_freq": ("freq", F.lit(0.0))} if frequencies and c in FREQ_COLS else {}
+        if means and c in MEAN_COLS:
+            new[f"{c}_price_mean"] = "mean_price", mean_of_all
+        if codes:
+            new[f"{c}_code"] = "code", F.lit(-1.0)
+        if not new:
+            continue
+        mine = maps.filter(F.col("column") == c).select("value", "n", *[F.col(v).alias(k) for k, (v, _) in new.items()])
+        out = lookup_join(out, mine, c, "value", "n")
+        out = out.withColumns({k: F.coalesce(k, default) for k, (_, default) in new.items()})
+    return out.withColumns({f"{c}_price_mean": F.log1p(f"{c}_price_mean") for c in MEAN_COLS}) if means else out
 
 
 def group_mean_transform(df: DataFrame, col: str, target: str = TARGET, out: str | None = None) -> DataFrame:
@@ -164,20 +167,14 @@ def prepare(df: DataFrame, trim: bool = True, make_default: str = "Unknown",
     The priced rows are checkpointed first: the quantile bounds and the
     trim both read them, and this is the hand-off point between the
     catalogue build and modelling."""
-    from pricewright.session import materialize
     base = materialize(positive_price(df))
     if trim:
         base = trim_outliers(base)
     return engineered(fill_missing(base, make_default, model_default))
 
 
-def fit_maps(rows: DataFrame) -> dict:
-    """All lookup tables of the feature step, fitted on ``rows``."""
-    return {"freq": frequency_maps(rows), "means": price_mean_maps(rows), "codes": ordinal_maps(rows)}
-
-
-def features(df: DataFrame, key=None, fit_on: str = "train", maps: dict | None = None,
-             trim: bool = True, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, dict]:
+def features(df: DataFrame, key=None, fit_on: str = "train", maps: DataFrame | None = None,
+             trim: bool = True, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training frame: prepare -> split column -> maps -> encodings.
 
     ``fit_on='train'`` fits the lookup maps on training rows only (no
@@ -188,5 +185,4 @@ def features(df: DataFrame, key=None, fit_on: str = "train", maps: dict | None =
     if maps is None:
         fit = base.filter(F.col("split") == "train") if (fit_on == "train" and key is not None) else base
         maps = fit_maps(fit)
-    enc = ordinal_encode(lookup_encode(base, maps["freq"], maps["means"]), maps["codes"])
-    return enc, maps
+    return encode(base, maps), maps

@@ -658,17 +658,22 @@ def vocab_sql(src):
 
 
 EXTRA_CTES["docs"] = f"""SELECT *, {TERMS} AS terms FROM (
-    SELECT {ORD}, concat_ws('|', {ORD}) AS rid, {toks_sql('part_name')} AS tk FROM prep)"""
-EXTRA_CTES["vocab"] = vocab_sql("docs")
+    SELECT {ORD}, split, concat_ws('|', {ORD}) AS rid, {toks_sql('part_name')} AS tk FROM sp)"""
+EXTRA_CTES["tdocs"] = "SELECT * FROM docs WHERE split = 'train'"
+EXTRA_CTES["vocab"] = vocab_sql("tdocs")
 EXTRA_CTES["ddocs"] = f"""SELECT *, {TERMS} AS terms FROM (
     SELECT doc_id, doc_id AS rid, {toks_sql('text')} AS tk FROM documents)"""
 
 
 def oracle_text() -> dict:
     q = {}
-    q["tfidf_vocab"] = with_(*FEAT_PIPE, "docs", "vocab", body="SELECT * FROM vocab")
+    q["tfidf_vocab"] = with_(*FEAT_PIPE, "sp", "docs", "tdocs", "vocab", body="SELECT * FROM vocab")
+    q["feature_count"] = with_(*FEAT_PIPE, "sp", "docs", "tdocs", "vocab", body="""
+        SELECT (SELECT count(*) FROM prep) AS n_rows, CAST(21 AS BIGINT) AS n_base, count(*) AS n_text,
+          21 + count(*) AS n_features
+        FROM vocab""")
     q["tfidf_documents"] = with_("ddocs", body=f"SELECT * FROM ({vocab_sql('ddocs')})")
-    q["tfidf_weights"] = with_(*FEAT_PIPE, "docs", "vocab", body=f"""
+    q["tfidf_weights"] = with_(*FEAT_PIPE, "sp", "docs", "tdocs", "vocab", body=f"""
         SELECT {ORD}, term, "index", raw / sqrt(sum(raw * raw) OVER (PARTITION BY {ORD})) AS weight FROM (
           SELECT c.*, v."index", c.n * v.idf AS raw FROM
             (SELECT {ORD}, term, count(*) AS n FROM (SELECT {ORD}, unnest(terms) AS term FROM docs) GROUP BY ALL) c

@@ -418,11 +418,10 @@ def price_mean_maps(spark, d):
 
 @query
 def lookup_encode(spark, d):
-    from pricewright.operators.features import (FREQ_COLS, MEAN_COLS, frequency_maps as fm,
-                                                lookup_encode as le, price_mean_maps as pm)
+    from pricewright.operators.features import FREQ_COLS, MEAN_COLS, encode, fit_maps
     p = _prepared(spark, d)
-    out = le(p, fm(p), pm(p))
-    return out.select(*ORD_COLS, *[f"{c}_freq" for c in FREQ_COLS], *[f"{c}_price_mean" for c in MEAN_COLS])
+    return encode(p, fit_maps(p), codes=False).select(
+        *ORD_COLS, *[f"{c}_freq" for c in FREQ_COLS], *[f"{c}_price_mean" for c in MEAN_COLS])
 
 
 @query
@@ -433,9 +432,9 @@ def group_mean_transform(spark, d):
 
 @query
 def ordinal_encode(spark, d):
-    from pricewright.operators.features import ORDINAL_COLS, ordinal_encode as oe, ordinal_maps
+    from pricewright.operators.features import ORDINAL_COLS, encode, fit_maps
     p = _prepared(spark, d)
-    return oe(p, ordinal_maps(p)).select(*ORD_COLS, *[f"{c}_code" for c in ORDINAL_COLS])
+    return encode(p, fit_maps(p), frequencies=False, means=False).select(*ORD_COLS, *[f"{c}_code" for c in ORDINAL_COLS])
 
 
 @query
@@ -456,11 +455,9 @@ def features(spark, d):
 def serving_features(spark, d):
     """Test rows encoded with maps fitted on training rows only: values never
     seen in training fall back to the defaults (-1 / 0 / global mean)."""
-    from pricewright.operators.features import (ENG_FEATURES, ORDINAL_COLS, fit_maps, lookup_encode as le,
-                                                ordinal_encode as oe, split_assign as sa)
-    p = sa(_prepared(spark, d), _split_key())
-    maps = fit_maps(p.filter(F.col("split") == "train"))
-    t = oe(le(p.filter(F.col("split") == "test"), maps["freq"], maps["means"]), maps["codes"])
+    from pricewright.operators.features import ENG_FEATURES, ORDINAL_COLS, encode, fit_maps
+    p = _split_frame(spark, d)
+    t = encode(p.filter(F.col("split") == "test"), fit_maps(p.filter(F.col("split") == "train")))
     return t.select(*ORD_COLS, *[f"{c}_code" for c in ORDINAL_COLS], *ENG_FEATURES[5:])
 
 
@@ -527,7 +524,7 @@ def select_best(spark, d):
     frame = _split_frame(spark, d)
     rows = []
     for rank, col in enumerate(["scraped_category", "compatible_make", "part_brand"]):
-        m = rm(_baseline(frame, col).filter(F.col("split") == "test"))
+        m = rm(_baseline(frame, col).filter(F.col("split") == "test"), median_ae=False)
         rows.append(m.select(F.lit(f"mean_by_{col}").alias("model"), F.lit(rank).alias("rank"), "r2"))
     metrics = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return sb(metrics)
@@ -537,21 +534,23 @@ def select_best(spark, d):
 
 def _docs(spark, d):
     from pricewright.operators.tfidf import with_terms
-    return with_terms(_prepared(spark, d).select(*ORD_COLS, "part_name"))
+    return with_terms(_split_frame(spark, d).select(*ORD_COLS, "split", "part_name"))
 
 
 @query
 def tfidf_vocab(spark, d):
+    """The vocabulary the models use: of the training rows only."""
     from pricewright.operators.tfidf import vocabulary
-    return vocabulary(_docs(spark, d))
+    from pricewright.plans.train import train_rows
+    return vocabulary(train_rows(_docs(spark, d)))
 
 
 @query
 def tfidf_weights(spark, d):
     from pricewright.operators.tfidf import vocabulary, weights
-    from pricewright.session import materialize
+    from pricewright.plans.train import train_rows
     docs = _docs(spark, d)
-    return weights(docs, vocabulary(docs), ORD_COLS)
+    return weights(docs, vocabulary(train_rows(docs)), ORD_COLS)
 
 
 @query
@@ -559,9 +558,7 @@ def tfidf_documents(spark, d):
     """The same vocabulary step over the documents table (long texts)."""
     from pricewright.operators.tfidf import vocabulary, with_terms
     from pricewright.sources.listings import read_table, spread
-    from pricewright.session import materialize
-    docs = with_terms(spread(read_table(spark, d, "documents").select("doc_id", "text")), "text")
-    return vocabulary(materialize(docs.select("doc_id", "terms")))
+    return vocabulary(with_terms(spread(read_table(spark, d, "documents").select("text")), "text"))
 
 
 # ---- enrichment ----------------------------------------------------------------
@@ -657,20 +654,22 @@ def fit_gbt(spark, d):
 
 @query
 def feature_count(spark, d):
-    from pricewright.operators.tfidf import vocabulary
-    from pricewright.plans.train import BASE_INPUTS
-    from pricewright.session import materialize
-    docs = materialize(_docs(spark, d))
-    n_text = vocabulary(docs).agg(F.count(F.lit(1)).alias("n_text"))
-    return n_text.select(F.lit(len(BASE_INPUTS)).alias("n_base"), "n_text",
-                         (F.lit(len(BASE_INPUTS)) + F.col("n_text")).alias("n_features"))
+    """Length of the feature vector as the fitted stages make it, and its parts."""
+    from pricewright.plans.train import BASE_INPUTS, feature_pipeline
+    frame, _ = _ml_frame(spark, d)
+    vectors = feature_pipeline(frame).transform(frame)
+    n = F.lit(vectors.schema["features"].metadata["ml_attr"]["num_attrs"]).cast("long")
+    base = F.lit(len(BASE_INPUTS)).cast("long")
+    return frame.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", base.alias("n_base"), (n - base).alias("n_text"), n.alias("n_features"))
 
 
 @query
 def feature_importance(spark, d):
     from pricewright.plans.train import feature_importance as fi, feature_names, fit
     frame, _ = _ml_frame(spark, d)
-    return fi(fit(frame, "forest"), feature_names(), spark)
+    model = fit(frame, "forest")
+    return fi(model, feature_names(model), spark)
 
 
 @query
@@ -710,32 +709,35 @@ def request_defaults(spark, d):
                                           "year_to", "alternatives_count")
 
 
+def _saved_model(spark, d, presets):
+    """Train, compare and save (pipeline, maps, metadata) in the shared folder; the folder."""
+    import uuid
+
+    from pricewright.plans.evaluate import select_best
+    from pricewright.plans.train import save_model, train_models
+    from pricewright.session import ensure_checkpoint_dir
+    frame, maps = _ml_frame(spark, d)
+    models, metrics = train_models(frame, presets=presets)
+    best = select_best(metrics).first()["best"]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    save_model(models[best], maps, metrics, best, path, frame, ST.price_stats(frame))
+    return path
+
+
 @query
 def score_requests(spark, d):
-    from pricewright.plans.score import score
-    from pricewright.plans.train import fit
-    frame, maps = _ml_frame(spark, d)
-    model = fit(frame, "hist")
-    scored, _ = score(_requests(spark, d), model, maps, model_name="hist")
+    """Requests scored by a model read back from its folder, with a band of its own median error."""
+    from pricewright.plans.score import score_saved
+    scored, _ = score_saved(_requests(spark, d), _saved_model(spark, d, ["hist"]))
     return scored.select(*ORD_COLS, "predicted_price_pkr", "confidence_range_low", "confidence_range_high",
                          "currency", "model_name")
 
 
 @query
 def model_info(spark, d):
-    """Train, save (model, maps, metadata) under the shared checkpoint
-    folder, load back and summarise."""
-    import uuid
-
-    from pricewright.plans.evaluate import select_best
-    from pricewright.plans.train import load_model, model_info as mi, save_model, train_models
-    from pricewright.session import ensure_checkpoint_dir
-    frame, maps = _ml_frame(spark, d)
-    models, metrics = train_models(frame, presets=("hist",))
-    best = select_best(metrics).first()["best"]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
-    save_model(models[best], maps, metrics, best, path)
-    _, _, meta = load_model(spark, path)
+    """Train, save under the shared checkpoint folder, load back and summarise."""
+    from pricewright.plans.train import load_model, model_info as mi
+    _, _, meta = load_model(spark, _saved_model(spark, d, ["hist"]))
     return mi(meta)
 
 
