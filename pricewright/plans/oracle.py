@@ -435,8 +435,8 @@ def oracle_more() -> dict:
     q["resume_pending"] = with_("cats", body="SELECT * FROM cats WHERE NOT contains(slug, 'o')")
     q["page_prefix"] = with_("crawl", body="""
         SELECT page_id, category_slug, page_no, status, n_cards FROM crawl c
-        WHERE page_no <= 60 AND page_no < coalesce((SELECT min(page_no) FROM crawl b
-          WHERE b.category_slug = c.category_slug AND b.page_no <= 60
+        WHERE page_no < coalesce((SELECT min(page_no) FROM crawl b
+          WHERE b.category_slug = c.category_slug
             AND (b.status = 404 OR b.html IS NULL OR b.n_cards = 0)), 1000000)""")
     q["page_url"] = with_("crawl", body="""
         SELECT page_id, CASE WHEN page_no = 1 THEN concat('https://shop.example/category/', category_slug, '/')

@@ -111,7 +111,6 @@ DEFAULT_CATEGORIES = [
 ]
 
 # Pipeline constants.
-MAX_PAGES_PER_CATEGORY = 60
 BATCH_SIZE = 15
 RECHECK_PASSES = 2
 MAX_ALTERNATIVES = 10
