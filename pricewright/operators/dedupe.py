@@ -1,16 +1,20 @@
-"""Duplicate removal as one grouped aggregate per key.
+"""Duplicate removal in two phases.
 
 Both rules keep one row per key and place it at the key's first-seen
-position. They are aggregates, not windows, so partial (map-side)
-aggregation collapses a hot key before the shuffle.
+position. First the winners are chosen on narrow rows: a 128-bit hash of the
+key, the score and the position, in an aggregate whose partial step collapses
+a hot key before the shuffle. Then the winners are fetched whole by key and
+position, which no two of them share, so the wide rows are moved at most once
+and never sorted by a hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.functions import finite_positive, truthy, ws_trim
+from pricewright.session import materialize
 
 
 def dedupe_key(url="product_url", name="part_name"):
@@ -26,33 +30,48 @@ def richness_score(df: DataFrame, exclude=("ord",)) -> F.Column:
     return sum(terms[1:], terms[0])
 
 
-def _keep_one(df: DataFrame, rank: F.Column, order_col: str) -> DataFrame:
-    cols = [c for c in df.columns if c != order_col]
-    keyed = df.withColumn("_key", dedupe_key()).filter(F.col("_key") != "")
-    agg = (keyed.groupBy("_key")
-           .agg(F.min_by(F.struct(*cols), rank).alias("_w"), F.min(order_col).alias(order_col)))
-    return agg.select(order_col, "_w.*")
+_KEY = ["_k1", "_k2"]
 
 
-def dedupe_richest(df: DataFrame, order_col: str = "ord") -> DataFrame:
-    """Keep the row with most truthy fields; ties go to the earliest."""
+def _keyed(df: DataFrame, stored: bool) -> DataFrame:
+    """Rows that have a key, with its hash. Both phases read them, so a derived frame is stored first."""
+    key = dedupe_key()
+    rows = df.filter(key != "").withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit("key"), key)})
+    return rows if stored else materialize(rows)
+
+
+def _fetch(keyed: DataFrame, winners: DataFrame, order_col: str) -> DataFrame:
+    """The winners' rows, each at the position ``_first``. Of rows that share key and
+    position one is taken, by the hash of their values."""
+    cols = [c for c in keyed.columns if c not in (order_col, *_KEY)]
+    j = keyed.join(winners.withColumnRenamed("_win", order_col), [*_KEY, order_col])
+    alike = Window.partitionBy(*_KEY, order_col).orderBy(F.xxhash64(*[F.col(c) for c in cols]))
+    return (j.withColumn("_alike", F.row_number().over(alike)).filter("_alike = 1")
+            .select(F.col("_first").alias(order_col), *cols))
+
+
+def dedupe_richest(df: DataFrame, order_col: str = "ord", stored: bool = False) -> DataFrame:
+    """Keep the row with most truthy fields; ties go to the earliest. ``stored`` tells that ``df``
+    is a table as it lies, which can be read twice."""
+    keyed = _keyed(df, stored)
     score = richness_score(df, exclude=(order_col,))
-    return _keep_one(df, F.struct(-score, F.col(order_col)), order_col)
+    best = (keyed.select(*_KEY, F.struct((-score).alias("s"), F.col(order_col).alias("o")).alias("r"))
+            .groupBy(*_KEY).agg(F.min("r").alias("r"), F.min("r.o").alias("_first")))
+    return _fetch(keyed, best.select(*_KEY, F.col("r.o").alias("_win"), "_first"), order_col)
 
 
-def dedupe_priced(df: DataFrame, order_col: str = "ord") -> DataFrame:
+def dedupe_priced(df: DataFrame, order_col: str = "ord", stored: bool = False) -> DataFrame:
     """Keep the first row, except that a first row priced exactly 0 gives way
     to the first later row with a positive price."""
-    cols = [c for c in df.columns if c != order_col]
-    priced = F.when(finite_positive("price_pkr"), F.lit(0)).otherwise(F.lit(1))
-    keyed = df.withColumn("_key", dedupe_key()).filter(F.col("_key") != "")
-    agg = (keyed.groupBy("_key")
-           .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_first"),
-                F.min_by(F.struct(*cols), F.struct(priced, F.col(order_col))).alias("_priced"),
-                F.min(order_col).alias(order_col)))
-    swap = (F.col("_first.price_pkr") == 0) & finite_positive("_priced.price_pkr")
-    return agg.select(order_col, F.when(swap, F.col("_priced")).otherwise(F.col("_first")).alias("_w")) \
-              .select(order_col, "_w.*")
+    keyed = _keyed(df, stored)
+    o = F.col(order_col)
+    best = (keyed.select(*_KEY, o.alias("o"), F.when(F.col("price_pkr") == 0, 1).otherwise(0).alias("zero"),
+                         F.when(finite_positive("price_pkr"), o).alias("priced"))
+            .groupBy(*_KEY).agg(F.min(F.struct("o", "zero")).alias("r"), F.min("priced").alias("priced")))
+    swap = (F.col("r.zero") == 1) & F.col("priced").isNotNull()
+    winners = best.select(*_KEY, F.when(swap, F.col("priced")).otherwise(F.col("r.o")).alias("_win"),
+                          F.col("r.o").alias("_first"))
+    return _fetch(keyed, winners, order_col)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
