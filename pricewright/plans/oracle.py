@@ -4,8 +4,9 @@ Written independently of the Spark code: plain SQL over the same tables."""
 
 from __future__ import annotations
 
-from pricewright.functions.prices import FLOAT_LITERAL
-from pricewright.functions.text import WS_CHARS
+# Written out here, not taken from the engine: a wrong pattern there must not pass on both sides.
+FLOAT_LITERAL = "^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")   # as Python's str.strip has it
 
 ORD = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
@@ -395,14 +396,13 @@ def oracle_more() -> dict:
           round(greatest(exp(ln(1 + price_pkr) - 1.0) - 1, 0.0), 4) AS back FROM uniq""")
     tok = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_]+', 0)"
     q["tokens"] = f"""SELECT doc_id, CAST(len({tok}) AS BIGINT) AS n_tokens,
-        CAST(coalesce(list_sum(list_transform({tok}, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM documents"""
+        array_to_string({tok}, ' ') AS tokens FROM documents"""
     fenced = ("CASE WHEN turn % 3 = 0 THEN concat('```json' || chr(10), text, chr(10) || '```') "
               "WHEN turn % 3 = 1 THEN concat('  ```', text, '``` ') ELSE text END")
     t = wtrim(fenced)
     sf = (f"CASE WHEN starts_with({t}, '```') THEN regexp_replace(regexp_replace({t}, '^```(?:json)?{WSC}*', ''), "
           f"'{WSC}*```$', '') ELSE {t} END")
-    q["strip_fence"] = f"""SELECT conv_id, turn, CAST(length({sf}) AS BIGINT) AS n_chars, substr({sf}, 1, 40) AS head
-        FROM conversations"""
+    q["strip_fence"] = f"SELECT conv_id, turn, {sf} AS text FROM conversations"
     js = f"""CASE l_linenumber % 4
         WHEN 0 THEN concat('{{"offers": {{"price": "', CAST(l_extendedprice AS VARCHAR), '", "highPrice": "',
                            CAST(round(l_extendedprice * 1.1, 2) AS VARCHAR), '"}}}}')
@@ -457,12 +457,38 @@ def oracle_more() -> dict:
           count(*) FILTER (WHERE (p IS NULL OR p <= 0) AND NOT coalesce(a, true)) AS dropped
         FROM (SELECT *, CASE WHEN fixed THEN d_price ELSE price_pkr END AS p,
                         CASE WHEN gone OR oos THEN false ELSE available END AS a FROM repaired)""")
+    q["repair_preview"] = with_("listings", "cleaned", body=f"""
+        SELECT {ORD}, substr(part_name, 1, 60) AS part_name,
+          greatest((SELECT count(*) FROM cleaned WHERE price_pkr IS NULL OR price_pkr <= 0) - 10, 0) AS remaining
+        FROM cleaned WHERE price_pkr IS NULL OR price_pkr <= 0 ORDER BY {ORD} LIMIT 10""")
+    after = f"""SELECT * REPLACE (
+          CASE WHEN fixed THEN d_price ELSE price_pkr END AS price_pkr,
+          CASE WHEN fixed AND d_orig > 0 THEN d_orig ELSE price_original_pkr END AS price_original_pkr,
+          CASE WHEN gone OR oos THEN false ELSE available END AS available,
+          CASE WHEN fetched AND coalesce(description, '') = '' AND coalesce(d_desc, '') <> '' THEN d_desc
+               ELSE description END AS description) FROM repaired"""
+    # the build again, over the rows that are kept: inner names hide the outer ones
+    q["repair_pass"] = with_("listings", "cleaned", "details", "rj", "repaired", body=f"""
+        SELECT f.*, c.* FROM (
+          WITH cleaned AS (SELECT {ORD}, {CLEAN_COLS} FROM ({after}) WHERE price_pkr > 0 OR coalesce(available, true)),
+               live AS (SELECT * FROM ({PRICED_DEDUP}) WHERE price_pkr > 0 OR available),
+               uniq AS ({UNIQUE}), keyed AS ({ALTS}), pairs AS ({ALT_PAIRS}), final AS ({EXTRA_CTES["final"]})
+          SELECT {ORD}, part_name, price_pkr, price_original_pkr, available, substr(description, 1, 500) AS description,
+            alternatives_count FROM final) f,
+        (SELECT *, total - dropped AS kept FROM (
+          SELECT count(*) FILTER (WHERE visit) AS visited, count(*) FILTER (WHERE fixed) AS fixed,
+            count(*) FILTER (WHERE oos) AS marked_out_of_stock, count(*) FILTER (WHERE gone) AS gone,
+            count(*) FILTER (WHERE price_pkr IS NULL OR price_pkr <= 0) AS still_zero,
+            count(*) FILTER (WHERE (price_pkr IS NULL OR price_pkr <= 0) AND NOT coalesce(available, true)) AS dropped,
+            count(*) AS total FROM ({after}))) c""").replace("SELECT f.*, c.* FROM", "SELECT f.*, c.* EXCLUDE (total) FROM")
     return q
 
 
 # ---- features ------------------------------------------------------------------
 
-from pricewright.schemas import NA_TOKENS  # noqa: E402
+# The tokens a pandas CSV reader takes for missing.
+NA_TOKENS = ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 
+             'nan', 'null')
 
 _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 

@@ -245,11 +245,9 @@ def log_target(spark, d):
 @query
 def tokens(spark, d):
     from pricewright.functions import name_tokens
-    from pricewright.sources.listings import read_table, spread
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    t = docs.select("doc_id", name_tokens("text").alias("tok"))
-    return t.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
-                    F.aggregate("tok", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    from pricewright.sources.listings import read_table
+    t = read_table(spark, d, "documents").select("doc_id", name_tokens("text").alias("tok"))
+    return t.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"), F.array_join("tok", " ").alias("tokens"))
 
 
 @query
@@ -260,8 +258,7 @@ def strip_fence(spark, d):
     fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))) \
               .when(F.col("turn") % 3 == 1, F.concat(F.lit("  ```"), "text", F.lit("``` "))) \
               .otherwise(F.col("text"))
-    return conv.select("conv_id", "turn", F.length(sf(fenced)).cast("bigint").alias("n_chars"),
-                       F.substring(sf(fenced), 1, 40).alias("head"))
+    return conv.select("conv_id", "turn", sf(fenced).alias("text"))
 
 
 @query
@@ -365,6 +362,24 @@ def repair_counters(spark, d):
     return rc(rp(B.cleaned(spark, d).drop("alternatives"), detail_table(spark, d)))
 
 
+@query
+def repair_preview(spark, d):
+    from pricewright.operators.repair import repair_preview as rp
+    c = B.cleaned(spark, d)
+    return rp(B.flat(c.drop("alternatives")), ORD_COLS)
+
+
+@query
+def repair_pass(spark, d):
+    """The composed pass over all listings: its rebuilt catalogue, with the pass's counters on each row."""
+    from pricewright.operators.repair import repair_pass as rp
+    out = rp(B.cleaned(spark, d).drop("alternatives"), detail_table(spark, d))
+    final = B.flat(B.final_flatten(out.final)).select(*ORD_COLS, "part_name", "price_pkr", "price_original_pkr",
+                                                      "available", "description", "alternatives_count")
+    return final.select("*", *[F.lit(out.counts[k]).cast("long").alias(k) for k in (
+        "visited", "fixed", "marked_out_of_stock", "gone", "still_zero", "dropped", "kept")])
+
+
 REGISTRY["needs_enrichment"] = REGISTRY.pop("needs_enrichment_q")
 
 
@@ -557,8 +572,8 @@ def tfidf_weights(spark, d):
 def tfidf_documents(spark, d):
     """The same vocabulary step over the documents table (long texts)."""
     from pricewright.operators.tfidf import vocabulary, with_terms
-    from pricewright.sources.listings import read_table, spread
-    return vocabulary(with_terms(spread(read_table(spark, d, "documents").select("text")), "text"))
+    from pricewright.sources.listings import read_table
+    return vocabulary(with_terms(read_table(spark, d, "documents").select("text"), "text"))
 
 
 # ---- enrichment ----------------------------------------------------------------

@@ -18,6 +18,7 @@ RAW_LISTING = T.StructType([
     T.StructField("description", S),
     # optional extras
     T.StructField("sku", S), T.StructField("_status", S), T.StructField("price_note", S),
+    T.StructField("position", L),          # first-seen order, stored by the raw sink
 ])
 
 ALTERNATIVE = T.StructType([

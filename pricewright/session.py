@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,13 +51,17 @@ def get_session(master: str | None = None, cpus: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is left alone. Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster that setting names a shared folder and is left alone. Only a local
+    master without one gets a scratch folder of its own; a cluster without one is an
+    error, as its executors would write where nobody else can read.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         current = tempfile.mkdtemp(prefix="pricewright-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -66,7 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage: reliable checkpoint into the session's shared checkpoint
-    folder (survives executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: a Parquet table in the session's shared checkpoint folder. It survives
+    executor loss, is written in one pass, pruned on reading and has a known size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-from pricewright.sources.listings import listings, read_table, spread, ORD_COLS  # noqa: F401
+from pricewright.sources.listings import listings, read_table, ORD_COLS  # noqa: F401

@@ -19,39 +19,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than the cluster has
-    cores (one-row-group files), so per-row work uses every core.
-
-    On a real input (thousands of files / row groups) the scan already has
-    enough splits and this adds nothing to the plan."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < max(2, target // 2):
-            return df.repartition(target)
-    except Exception:  # no SparkContext (Spark Connect): keep the scan as is
-        pass
-    return df
-
-
 def listings(spark: SparkSession, sf_dir: str, with_price_text: bool = False) -> DataFrame:
     """Raw listings mapped from lineitem + part + supplier + nation + orders.
 
     Join strategies are left to the planner: part, supplier and orders grow
     with the data, so they shuffle-join unless their measured size is under
-    the broadcast threshold; nation is a fixed 25-row dimension.
+    the broadcast threshold; nation is a fixed 25-row dimension. Line items are
+    dealt by order first, which the join with orders needs anyhow.
     """
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
-        *ORD_COLS, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        *ORD_COLS, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
 
-    j = (li.join(part, li.l_partkey == part.p_partkey)
+    j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+         .join(part, li.l_partkey == part.p_partkey)
          .join(supp, li.l_suppkey == supp.s_suppkey)
-         .join(nation, supp.s_nationkey == nation.n_nationkey)
-         .join(orders, li.l_orderkey == orders.o_orderkey))
+         .join(nation, supp.s_nationkey == nation.n_nationkey))
 
     word2 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
     cols = [
