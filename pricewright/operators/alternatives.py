@@ -12,7 +12,8 @@ Plan (linear in rows, bounded per group):
    per input partition.
 2. collect those few candidates per group (bounded by 11 x classes).
 3. join the candidates back to each member on the group key and drop the
-   member's own URL, keep the first 10 by position.
+   member's own URL, keep the first 10 by position. Rows without a group are
+   spread over keys that match nothing, so they never meet in one task.
 Non-blank URLs are unique after de-duplication, so the first 11 non-blank
 candidates always leave 10 after removing the row itself; a blank-URL row
 skips every member with its exact URL, which the per-class candidates cover.
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType
 from pricewright.functions import ws_trim
 from pricewright.schemas import ALTERNATIVE, MAX_ALTERNATIVES
 
-GROUP_COLS = ["_g_type", "_g_make", "_g_model"]
+GROUP = "_group"
 
 
 def _norm(c):
@@ -35,49 +36,41 @@ def _norm(c):
 
 
 def with_group_key(df: DataFrame) -> DataFrame:
-    return (df.withColumn("_g_type", _norm("part_type"))
-              .withColumn("_g_make", _norm("compatible_make"))
-              .withColumn("_g_model", _norm("compatible_model")))
+    """``_group``: type, make and model of a row that takes part, else null."""
+    kind, make, model = (_norm(c) for c in ("part_type", "compatible_make", "compatible_model"))
+    eligible = (kind != "") & (make != "") & (make != "universal")
+    return df.withColumn(GROUP, F.when(eligible, F.concat_ws("\x01", kind, make, model)))
 
 
 def eligible():
-    return (F.col("_g_type") != "") & (F.col("_g_make") != "") & (F.col("_g_make") != "universal")
+    return F.col(GROUP).isNotNull()
 
 
 def candidates(members: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERNATIVES) -> DataFrame:
     """One row per group: array of at most (cap+1) x url-classes candidates."""
     url_class = F.when(ws_trim(F.col("product_url")) == "", F.col("product_url")).otherwise(F.lit(None))
-    w = Window.partitionBy(*GROUP_COLS, "_url_class").orderBy(order_col)
-    firsts = (members.withColumn("_url_class", url_class)
-              .withColumn("_rn", F.row_number().over(w))
-              .filter(F.col("_rn") <= cap + 1))
+    w = Window.partitionBy(GROUP, "_url_class").orderBy(order_col)
+    firsts = (members.filter(eligible())
+              .select(GROUP, order_col, "part_name", "part_brand", "price_pkr", "product_url",
+                      url_class.alias("_url_class"))
+              .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap + 1))
     cand = F.struct(F.col(order_col).alias("o"), F.col("product_url").alias("u"),
-                    F.struct(F.col("part_name"), F.col("part_brand"), F.col("price_pkr"),
-                             F.col("product_url")).alias("alt"))
-    return firsts.groupBy(*GROUP_COLS).agg(F.collect_list(cand).alias("_cand"))
-
-
-def build_alternatives(df: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERNATIVES,
-                       checkpoint: bool = True) -> DataFrame:
-    """Fill ``alternatives`` for every row; ineligible rows get [].
-
-    The input is read twice (candidates and the join back), so by default it
-    is checkpointed first rather than recomputed from its sources."""
-    base = df.drop("alternatives") if "alternatives" in df.columns else df
-    if checkpoint:
-        from pricewright.session import materialize
-        base = materialize(base)
-    keyed = with_group_key(base)
-    members = keyed.filter(eligible()).select(*GROUP_COLS, order_col, "part_name", "part_brand",
-                                              "price_pkr", "product_url")
-    cand = candidates(members, order_col, cap)
-    joined = keyed.join(cand, GROUP_COLS, "left")
+                    F.struct("part_name", "part_brand", "price_pkr", "product_url").alias("alt"))
+    return firsts.groupBy(GROUP).agg(F.collect_list(cand).alias("_cand"))
+
+
+def build_alternatives(df: DataFrame, order_col: str = "ord", cap: int = MAX_ALTERNATIVES) -> DataFrame:
+    """Fill ``alternatives`` for every row; ineligible rows get []. The input is read twice, the
+    first time only the columns of a candidate; nothing runs before the result is asked for."""
+    keyed = with_group_key(df.drop("alternatives") if "alternatives" in df.columns else df)
+    found = candidates(keyed, order_col, cap).withColumnRenamed(GROUP, "_found")
+    alone = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(order_col), F.lit(65536)).cast("string"))
+    joined = keyed.withColumn(GROUP, F.coalesce(GROUP, alone)).join(found, F.col(GROUP) == F.col("_found"), "left")
     mine = F.col("product_url")
-    picked = F.slice(F.array_sort(F.filter(F.col("_cand"), lambda c: c["u"] != mine)), 1, cap)
-    alts = F.when(eligible() & F.col("_cand").isNotNull(), F.transform(picked, lambda c: c["alt"])) \
-            .otherwise(F.array().cast(ArrayType(ALTERNATIVE)))
-    return joined.withColumn("alternatives", alts.cast(ArrayType(ALTERNATIVE))) \
-                 .drop("_cand", *GROUP_COLS)
+    picked = F.slice(F.array_sort(F.filter("_cand", lambda c: c["u"] != mine)), 1, cap)
+    alts = F.coalesce(F.transform(picked, lambda c: c["alt"]).cast(ArrayType(ALTERNATIVE)),
+                      F.array().cast(ArrayType(ALTERNATIVE)))
+    return joined.withColumn("alternatives", alts).drop("_cand", "_found", GROUP)
 
 
 def explode_alternatives(df: DataFrame, id_cols) -> DataFrame:

@@ -89,3 +89,27 @@ def test_drop_dead_nan(spark):
     df = spark.createDataFrame([("a", float("nan"), False), ("b", 0.0, True), ("c", 5.0, False)],
                                "part_name string, price_pkr double, available boolean")
     assert sorted(r.part_name for r in drop_dead(df).collect()) == ["b", "c"]
+
+
+def test_rows_without_a_group_do_not_meet(spark):
+    """A third of the rows has no group, all with the same blank columns; every task gets its share."""
+    rows = spark.range(30_000, numPartitions=4).select(
+        F.col("id").alias("ord"), F.lit("n").alias("part_name"), F.lit("b").alias("part_brand"),
+        F.lit(1.0).alias("price_pkr"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("product_url"),
+        F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("t"), (F.col("id") % 5000).cast("string"))).alias("part_type"),
+        F.lit("m").alias("compatible_make"), F.lit("x").alias("compatible_model"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tracker = spark.sparkContext.statusTracker()
+        before = set(tracker.getJobIdsForGroup(None))
+        out = build_alternatives(rows)
+        assert set(tracker.getJobIdsForGroup(None)) == before       # planning runs nothing
+        sizes = sorted(r.n for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.size("alternatives"))).collect())
+        assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert out.filter("part_type = '' AND size(alternatives) > 0").isEmpty()
+        assert out.filter("part_type <> ''").agg(F.min(F.size("alternatives")), F.max(F.size("alternatives"))).first() == (3, 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
