@@ -1,18 +1,22 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 1. Copies (same label, same components) become one node with a count.
-2. Each label's vectors are cut into cells by k-means centres fitted on a
-   bounded sample (``SAMPLE`` vectors by hash, per round). The nearest centre is
-   a vector's home; it also visits every cell whose border is within the
-   threshold's angle, so that any pair in reach meets at the home of each side.
-   Cells that are still too large are cut again, with their visitors, so a
-   label may hold any part of the rows.
-3. Each cell builds a flat graph of the vectors at home there: candidate neighbours by similarity, then
-   robust pruning (a candidate goes if a chosen neighbour is ``ALPHA`` times
-   nearer to it than the node is).
-4. Each cell answers for its members and visitors, dealt into blocks: greedy
-   beam search from the medoid, then the range expands from what was found (and
-   from the node itself) as long as neighbours stay within reach.
+2. Each label's vectors are cut into overlapping shards around k-means centres
+   fitted on a bounded sample (``SAMPLE`` vectors by hash, per round). The nearest
+   centre is a vector's home; it also visits the shards where a vector at the
+   threshold's angle may be at home. Of that angle only the part along the line
+   between two centres counts, in d dimensions typically a share of 1 / sqrt(d);
+   ``SPREAD`` times that share is allowed, which a few shards meet, where the
+   whole angle would meet nearly all. Shards that are still too large are cut
+   again, with their visitors, so a label may hold any part of the rows.
+3. Each shard builds a flat graph of its members, visitors included: candidate
+   neighbours by similarity, then robust pruning (a candidate goes if a chosen
+   neighbour is ``ALPHA`` times nearer to it than the node is). A shard that could
+   not be cut builds it in pieces of bounded size that overlap by half. A vector's
+   adjacency lists from all its shards and pieces are united.
+4. Each shard answers for its members, dealt into blocks, over the united lists:
+   greedy beam search from the medoid, then the range expands from what was found
+   (and from the node itself) as long as neighbours stay within reach.
 5. Pairs found are verified by cosine in double precision. A node's link counts
    at the other node's home, so once. Blocks send counts and a spanning forest,
    never all pairs.
@@ -48,10 +52,13 @@ POOL = 72               # candidate neighbours before pruning
 ALPHA = 1.2
 BEAM = 12
 REACH = 0.06            # the range expands through vectors this much below the threshold
+SPREAD = 2.0            # standard deviations of a near vector's shift along one direction
+CENTRES = 1024          # of one cell and round
 
 
 def unit(rows) -> np.ndarray:
     m = np.array([np.frombuffer(r, "<f8") for r in rows])
+    m = m / np.abs(m).max(axis=1, keepdims=True)      # squares of extreme components would not be numbers
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -59,7 +66,7 @@ def unit(rows) -> np.ndarray:
 
 def _fit(points: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     """Centres on the unit sphere; k seeds spread over the sample."""
-    k = max(1, min(k, len(points)))
+    k = max(1, min(k, len(points), CENTRES))
     centres = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         near = (points @ centres.T).argmax(1)
@@ -82,9 +89,10 @@ def _assign(centres: dict[str, np.ndarray], margin: float):
                 c = centres[cell]
                 near = unit([b["vec"][int(i)].as_py() for i in own]) @ c.T
                 best = near.argmax(1)
-                apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+                apart = np.sqrt(np.maximum(2 - 2 * (c[best] @ c.T), 0))
+                share = min(1.0, SPREAD / math.sqrt(c.shape[1]))
                 # what lies beyond the plane between two centres is at least as far as the plane
-                reach = near[np.arange(len(own)), best][:, None] - near <= margin * apart[best] + 1e-9
+                reach = near[np.arange(len(own)), best][:, None] - near <= margin * share * apart + 1e-9
                 i, j = np.nonzero(reach)
                 cells += [f"{cell}/{x}" for x in j.tolist()]
                 rows += own[i].tolist()
@@ -156,13 +164,12 @@ def _build(t: pa.Table) -> pa.Table:
                 if len(out[j]) < 2 * DEGREE:
                     out[j].add(i)       # and back, so that all nodes can be reached
     return pa.table({"id": pa.array(ids, pa.int64()),
-                     "near": pa.array([ids[sorted(o)].tolist() for o in out], pa.list_(pa.int64())),
-                     "cell": pa.array([t["cell"][0].as_py()] * len(ids), pa.string())})
+                     "near": pa.array([ids[sorted(o)].tolist() for o in out], pa.list_(pa.int64()))})
 
 
 def _search(threshold: float):
     def run(t: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        ids, n, at_home = t["id"].to_numpy(), t["n"].to_numpy(), np.array(t["home"].to_pylist(), bool)
         if not len(ids) or not asked.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()),
                              "root": pa.array([], pa.int64())})
@@ -174,14 +181,14 @@ def _search(threshold: float):
         for k, row in enumerate(lists):
             graph[k, :len(row)] = row
         names, w = asked["name"].to_numpy(), unit(asked["asked"].to_pylist())
-        own = np.array([place[int(i)] if h else -1 for i, h in zip(names, asked["own"].to_pylist())])
+        own = np.array([place[int(i)] for i in names])
         # nodes of the forest: first the cell's, then the asked ones
         counts, links, size = np.zeros(len(names), np.int64), [], len(ids) + len(names)
         for lo in range(0, len(names), 256):
             hits = _range(v, graph, w[lo:lo + 256], own[lo:lo + 256], threshold - REACH)
             a, b = hits[0] + lo, hits[1]
             # verify in double precision
-            ok = (names[a] != ids[b]) & (np.einsum("ij,ij->i", w[a], v[b]) >= threshold)
+            ok = at_home[b] & (names[a] != ids[b]) & (np.einsum("ij,ij->i", w[a], v[b]) >= threshold)
             np.add.at(counts, a[ok], n[b[ok]])
             links += zip((a[ok] + len(ids)).tolist(), b[ok].tolist())
         every = np.concatenate([ids, names])
@@ -205,7 +212,7 @@ def _search(threshold: float):
 
 def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """(row of q, node) pairs reached with similarity of at least ``floor``; ``own``
-    is the place of a queried vector among the nodes, or -1."""
+    is the place of a queried vector among the nodes."""
     size, rows = len(v), np.arange(len(q))
     medoid = int((v @ v.mean(0)).argmax())
     seen = np.zeros((len(q), size), bool)
@@ -250,7 +257,7 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, flo
     s = np.einsum("ijk,ik->ij", v[beam], q)
     r, c = np.nonzero(s >= floor)
     found[r, beam[r, c]] = True
-    found[rows[own >= 0], own[own >= 0]] = True
+    found[rows, own] = True
     r, c = np.nonzero(found)
     while len(r):
         nodes = graph[c]
@@ -296,15 +303,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                                           F.first("cell").alias("cell"), F.first("vec").alias("vec")), "vec-nodes")
     member = shards(nodes.select("cell", F.col("node").alias("id"), "vec", F.col("size").alias("n")), threshold)
     member = stage(member, "vec-members")
-    at_home = member.filter("home").select("cell", "id", "vec", "n")
-    lists = at_home.select("cell", "id", "vec").groupBy("cell").applyInArrow(_build, "id long, near array<long>, cell string")
-    blocks = member.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    blocks = stage(blocks, "vec-blocks")
-    ready = (at_home.join(stage(lists, "vec-lists"), ["cell", "id"]).join(blocks, "cell")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
-    asked = (member.select("cell", "id", "vec", "home").join(blocks, "cell")
+    size = F.count(F.lit(1))
+    blocks = stage(member.groupBy("cell").agg(F.ceil(size / QUERIES).cast("int").alias("blocks"),
+                                              F.ceil(2 * size / CAPACITY).cast("int").alias("pieces")), "vec-blocks")
+    first = F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces"))
+    piece = F.when(F.col("pieces") <= 2, F.array(F.lit(0).cast("long"))).otherwise(
+        F.array(first, F.pmod(first + 1, F.col("pieces"))))
+    lists = (member.join(blocks, "cell").select("cell", F.explode(piece).alias("piece"), "id", "vec")
+             .groupBy("cell", "piece").applyInArrow(_build, "id long, near array<long>"))
+    # at most 2 * DEGREE neighbours from each shard or piece
+    united = stage(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vec-lists")
+    ready = (member.join(united, "id").join(blocks, "cell")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("cell", "block", "id", "vec", "n", "home", "near"))
+    asked = (member.select("cell", "id", "vec").join(blocks, "cell")
              .select(F.col("cell").alias("of"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"),
-                     F.col("id").alias("name"), F.col("vec").alias("asked"), F.col("home").alias("own")))
+                     F.col("id").alias("name"), F.col("vec").alias("asked")))
     found = stage(ready.groupBy("cell", "block").cogroup(asked.groupBy("of", "part"))
                   .applyInArrow(_search(threshold), "id long, links long, root long"), "vec-found")
     joined = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
