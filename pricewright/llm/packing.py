@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +36,46 @@ SEQ_LEN = 4096
 QUANTUM = 256
 END_ID = 2
 MAX_QUEUES = 4096
-CACHE_WORDS = 250_000
-CACHE_CORES = 350_000
-CHUNK = 50_000        # words looked up at a time
+CACHE_WORDS = 200_000
+CACHE_CORES = 200_000
 LONG_WORD = 64        # longer ones are not kept
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, source string")
 
 
+def parted(core: str) -> bool:
+    """Whether the core still ends in a letter or digit once it is normalised and in lower case."""
+    return core[-1].isalnum() and (core.isascii() or normalize("NFC", core)[-1].lower()[-1].isalnum())
+
+
+class Kept(dict):
+    """The ids of words as ``make`` finds them, each made once; emptied when it is full."""
+
+    def __init__(self, make, size: int):
+        super().__init__({"": b""})
+        self.make, self.size = make, size
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.make(w)
+        if len(w) <= LONG_WORD:
+            if len(self) >= self.size:
+                self.clear()
+                self[""] = b""
+            self[w] = ids
+        return ids
+
+
 class WordIds:
     """Token ids of texts by a vocabulary that drops white space and letter case.
 
     A text is split at blanks and line feeds; the ids of each distinct word are
     kept in a table of bounded size. A new word is its core and the marks of
-    punctuation behind it, which the vocabulary's pattern always parts; cores
-    are kept too, for longer. A core of Latin letters alone is one unit of the
-    pattern and goes straight to the library's model in lower case, as the
-    library's own steps before it would hand it over; all others go through
-    those steps."""
+    punctuation behind it, which the vocabulary's pattern always parts from a
+    letter or digit (but not from the combining mark that some letters end in
+    once they are normalised and in lower case); cores are kept too. A core of Latin letters
+    alone is one unit of the pattern and goes straight to the library's model in
+    lower case, as the library's own steps before it would hand it over; all
+    others go through those steps."""
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
@@ -64,58 +87,26 @@ class WordIds:
         self.model = self.tok.model
         # the model reads bytes as printable characters
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
-        self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.known = Kept(self._word, CACHE_WORDS)
+        self.cores = Kept(self._core, CACHE_CORES)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        out = []
-        for w in words:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, w)))
-            except KeyError:
-                out.append(b"".join([self._part(w[i:i + CHUNK]) for i in range(0, len(w), CHUNK)]))
-        return out
-
-    def _part(self, words: list[str]) -> bytes:
-        known, cores = self.known, self.cores
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-            new = [w for w in dict.fromkeys(words) if w]
-        for w in new:
-            ids = cores.get(w)
-            if ids is None:
-                core = w.rstrip(".,;:!?")
-                if len(core) < len(w) and core and core[-1].isalnum():
-                    ids = self._core(core) + self._core(w[len(core):])
-                else:
-                    ids = self._core(w)
-            known[w] = ids
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _word(self, w: str) -> bytes:
+        core = w.rstrip(".,;:!?")
+        if len(core) < len(w) and core and parted(core):
+            return self.cores[core] + self.cores[w[len(core):]]
+        return self._core(w)
 
     def _core(self, w: str) -> bytes:
-        if w.isascii() and w.isalpha():
-            w = w.lower()
-        ids = self.cores.get(w)
-        if ids is None:
-            ids = array(self.code, self._encode(w)).tobytes()
-            if len(w) <= LONG_WORD:
-                if len(self.cores) >= CACHE_CORES:
-                    self.cores.clear()
-                    self.cores[""] = b""
-                self.cores[w] = ids
-        return ids
+        return array(self.code, self._encode(w)).tobytes()
 
     def _encode(self, w: str) -> list[int]:
         if w.isalpha():
             if w.isascii():
-                return [t.id for t in self.model.tokenize(w)]
+                return [t.id for t in self.model.tokenize(w.lower())]
             if max(w) < "\u0250" and "\u0130" not in w and (low := w.lower()).isalpha():
                 return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.symbols))]
         return self.tok.encode(w, add_special_tokens=False).ids
