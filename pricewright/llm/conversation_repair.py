@@ -161,9 +161,10 @@ def events(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     counted = (norm.select("conv", "turn", "role", digest, blank.alias("blank"))
                .groupBy("conv", "turn", "role", "digest", "blank").agg(F.count(F.lit(1)).alias("n")))
     complete = F.substring(F.rtrim("text", F.lit(SPACE)), -1, 1).isin(".", "!", "?")
+    # null turns come first; two plain minima keep to hash aggregates, which a struct would not
     first = (norm.filter(~blank).groupBy("conv", "role", "text")
-             .agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("m")))
-    return (first.select("conv", "m.turn", "role", digest, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"),
+             .agg(F.max(F.col("turn").isNull()).alias("early"), F.min("turn").alias("least")))
+    return (first.select("conv", F.when(~F.col("early"), F.col("least")).alias("turn"), "role", digest, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"),
                          F.lit(False).alias("blank"), complete.alias("complete"), "text")
             .unionByName(counted.select("conv", "turn", "role", "digest", F.lit(1).alias("kind"), "n", "blank",
                                         F.lit(False).alias("complete"), F.lit(None).cast("string").alias("text"))))

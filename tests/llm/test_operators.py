@@ -302,3 +302,40 @@ def test_pipeline_stages(spark):
         out = step(spark, now, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and 0 < out.count() <= now.count()
     assert p.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_word_ids_of_every_letter_before_punctuation():
+    enc, tok = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    letters = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum() and not 0x3400 <= c < 0xD7B0]
+    for k in range(0, len(letters), 500):
+        texts = [x + m for x in letters[k:k + 500] for m in (":", "a.", "!?")] + ["İ:", "aİ!", "İ. x"]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.texts(texts)] == want
+
+
+def test_word_table_stays_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "CACHE_CORES", 20)
+    enc, tok = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    text = " ".join(f"w{i % 300}x, " + "long" * (i % 40) for i in range(900))
+    assert np.frombuffer(enc(text), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(enc.known) <= 51 and len(enc.cores) <= 21
+
+
+def test_vectors_of_extreme_length(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1e-200, 0.0], 0), (3, [1e200, 1.0], 0), (4, [0.0, 5e-324], 0)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_dense_cell_that_cannot_be_cut(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "ROUNDS", 0)
+    monkeypatch.setattr(near_vectors, "CAPACITY", 120)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16) + rng.normal(size=(500, 16)) * 0.12
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.97 * links.sum()
