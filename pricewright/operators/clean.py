@@ -56,10 +56,6 @@ def zero_price_items(df: DataFrame) -> DataFrame:
     return df.filter(F.col("price_pkr").isNull() | (F.col("price_pkr") <= 0))
 
 
-def needs_enrichment_rows(df: DataFrame) -> DataFrame:
-    return df.filter(needs_enrichment())
-
-
 def price_note(df: DataFrame, note: str = PRICE_NOTE) -> DataFrame:
     """Tag rows still without a price but in stock."""
     still_zero = (F.col("price_pkr").isNull() | (F.col("price_pkr") <= 0)) & F.col("available")
@@ -78,7 +74,3 @@ def category_filter(categories: DataFrame, terms, col: str = "slug") -> DataFram
         return categories
     arr = F.array(*[F.lit(t) for t in terms])
     return categories.filter(F.exists(arr, lambda t: F.col(col).contains(t)))
-
-
-def blank_trimmed_lower(c):
-    return F.lower(ws_trim(F.coalesce(F.col(c), F.lit(""))))

@@ -786,6 +786,54 @@ def oracle_score() -> dict:
     return q
 
 
+# The default categories, in source order.
+CATEGORIES = """SELECT * FROM (VALUES
+    (0, 'car-parts/back-lights', 'Back Lights'),
+    (1, 'car-parts/head-lights', 'Head Lights'),
+    (2, 'car-parts/mud-flap', 'Mud Flaps'),
+    (3, 'car-parts/side-mirrors', 'Side Mirrors'),
+    (4, 'car-parts/spark-plugs', 'Spark Plugs'),
+    (5, 'car-parts/wiper-blades', 'Wiper Blades'),
+    (6, 'car-filters/ac-filter', 'AC Cabin Filter'),
+    (7, 'car-filters/air-filters', 'Air Filter'),
+    (8, 'car-filters/fuel-filter', 'Fuel Filter'),
+    (9, 'car-filters/oil-filters', 'Oil Filter'),
+    (10, 'oils-and-additives/brake-oils', 'Brake Oil'),
+    (11, 'oils-and-additives/engine-oil', 'Engine Oil'),
+    (12, 'oils-and-additives/oil-additives', 'Oil Additives'),
+    (13, 'oils-and-additives/steering-oil', 'Steering Oil'),
+    (14, 'oils-and-additives/transmission-oils', 'Transmission Oil'),
+    (15, 'car-accessories/mats/floor-mats', 'Floor Mats'),
+    (16, 'car-accessories/mats/dash-mats', 'Dash Mats'),
+    (17, 'car-accessories/interior-accessories/seat-covers-and-cushions', 'Seat Covers'),
+    (18, 'car-accessories/interior-accessories/steering-wheel-accessories', 'Steering Accessories'),
+    (19, 'car-accessories/interior-accessories/sun-shades', 'Sun Shades'),
+    (20, 'car-accessories/exterior-accessories/top-covers', 'Car Top Covers'),
+    (21, 'car-accessories/exterior-accessories/body-kits', 'Body Kits'),
+    (22, 'car-accessories/exterior-accessories/chrome-products', 'Chrome Parts'),
+    (23, 'car-accessories/exterior-accessories/horns', 'Horns'),
+    (24, 'car-accessories/exterior-accessories/mufflers', 'Mufflers'),
+    (25, 'car-accessories/exterior-accessories/performance-parts', 'Performance Parts'),
+    (26, 'car-accessories/exterior-accessories/airpress', 'Air Press / Wind Deflectors'),
+    (27, 'led-lights/drl-fog-lamps', 'DRL & Fog Lamps'),
+    (28, 'led-lights/hid-led-smd-lights', 'HID / LED / SMD Lights'),
+    (29, 'led-lights/led-head-lights', 'LED Head Lights'),
+    (30, 'led-lights/led-tail-lights', 'LED Tail Lights'),
+    (31, 'car-electronics/car-camera', 'Car Cameras'),
+    (32, 'car-electronics/stereo-systems', 'Stereo Systems'),
+    (33, 'car-electronics/speakers-and-amplifiers', 'Speakers & Amplifiers'),
+    (34, 'car-electronics/security-systems', 'Security Systems'),
+    (35, 'tyres-and-wheels/tyres', 'Tyres'),
+    (36, 'tyres-and-wheels/wheel-covers', 'Wheel Covers'),
+    (37, 'batteries', 'Batteries'),
+    (38, 'tools/basic-tools', 'Basic Tools'),
+    (39, 'tools/tool-kits', 'Tool Kits'),
+    (40, 'tools/air-compressor', 'Air Compressors'),
+    (41, 'tools/cable-and-jump-starter', 'Jump Starters'),
+    (42, 'car-care/carcare-exterior/tire-care', 'Tire Care Products'),
+    (43, 'car-care/coolants', 'Coolants')) t(place, slug, name)"""
+
+
 def oracle_pages() -> dict:
     q = {}
     a, b = ptext("price_text", "del_text", "ins_text")
@@ -796,6 +844,15 @@ def oracle_pages() -> dict:
           concat('https://shop.example/shop/', l_partkey, '-', l_suppkey % 4) AS product_url,
           {a} AS price_pkr, {b} AS price_original_pkr, {avail} AS available
         FROM texts""")
+    q["raw_listings"] = f"""
+        SELECT c.page_id, c.card_no, c.part_name, k.name AS scraped_category, k.slug AS category_slug, c.price_pkr,
+          c.price_original_pkr, c.available, c.product_url, 'shop.example' AS website,
+          'https://shop.example' AS source_base, '' AS part_brand, '' AS part_type, '' AS compatible_make,
+          '' AS compatible_model, CAST(NULL AS INTEGER) AS year_from, CAST(NULL AS INTEGER) AS year_to,
+          'New' AS condition, '' AS description
+        FROM ({q["listing_cards"]}) c JOIN ({CATEGORIES}) k ON c.page_id % 46 = k.place"""
+    q["detail_skus"] = with_("listings", body=f"""
+        SELECT {ORD}, CASE WHEN l_linenumber < 7 THEN concat('K-', l_partkey) END AS sku FROM listings""")
     layout = "l_linenumber % 6"     # sale pair, amount, JSON-LD, meta tag, currency text, sold out
     detail = """SELECT {ORD}, CASE WHEN {k} {priced} THEN l_extendedprice ELSE 0.0 END AS price,
           {original} AS original_price, {k} <> 5 AS available, trim(part_name) AS description FROM listings"""

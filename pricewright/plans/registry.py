@@ -787,6 +787,21 @@ def listing_cards(spark, d):
         "page_id", "card_no", "part_name", "product_url", "price_pkr", "price_original_pkr", "available")
 
 
+@query
+def raw_listings(spark, d):
+    """Cards of pages in configured and other categories, as the collection's raw rows."""
+    from pricewright.operators.extract import listing_cards as lc, raw_listings as rl
+    from pricewright.schemas import DEFAULT_CATEGORIES, categories_df
+    slugs = F.array(*[F.lit(s) for s, _ in DEFAULT_CATEGORIES])
+    k = (F.col("page_id") % (len(DEFAULT_CATEGORIES) + 2)).cast("int")
+    pages = card_pages(spark, d).withColumn("category_slug", F.coalesce(F.get(slugs, k), F.lit("other/parts")))
+    out = rl(lc(pages, base_url="https://shop.example"), categories_df(spark), "shop.example", "https://shop.example")
+    return out.select("page_id", "card_no", "part_name", "scraped_category", "category_slug", "price_pkr",
+                      "price_original_pkr", "available", "product_url", "website", "source_base", "part_brand",
+                      "part_type", "compatible_make", "compatible_model", "year_from", "year_to", "condition",
+                      "description")
+
+
 def detail_pages(spark, d):
     """Product pages rendered from the listing table, one price layout per
     line number: sale pair, single amount, JSON-LD offer, meta tag, currency
@@ -807,8 +822,10 @@ def detail_pages(spark, d):
             .otherwise(F.lit('<div class="summary"><p class="stock out-of-stock">Out of stock</p></div>')))
     desc = F.concat(F.lit('<div class="woocommerce-product-details__short-description"><p>'),
                     F.col("part_name"), F.lit("</p></div>"))
+    sku = F.when(F.col("l_linenumber") < 7, F.concat(
+        F.lit('<p>SKU: <span class="sku"> K-'), F.col("l_partkey").cast("string"), F.lit(" </span></p>"))).otherwise("")
     return r.select(F.xxhash64(*ORD_COLS).alias("page_id"), *ORD_COLS,
-                    F.concat(F.lit("<html><body>"), body, desc, F.lit("</body></html>")).alias("html"))
+                    F.concat(F.lit("<html><body>"), body, desc, sku, F.lit("</body></html>")).alias("html"))
 
 
 @query
@@ -824,6 +841,12 @@ def detail_prices_inline(spark, d):
         *ORD_COLS, "price", "original_price", "available", "description")
 
 
+@query
+def detail_skus(spark, d):
+    from pricewright.operators.extract import detail_prices as dp
+    return dp(detail_pages(spark, d)).select(*ORD_COLS, "sku")
+
+
 @query
 def page_detail_robustness(spark, d):
     """Every crawled page runs through the detail extractor without error."""
