@@ -1,22 +1,28 @@
 """Secret scan in DataFrame functions only.
 
 Base spans come from three fixed patterns. Further candidates are runs of key
-characters that mix letters and digits; two character Markov models, one of
-random strings and one of ordinary identifiers, give each a log-likelihood
-ratio per character, and those above a threshold are added.
-
-The models are bigram counts of labelled samples: values of base spans are the
-random strings, words of 14 letters or more the identifiers, each at most
-``max_samples`` distinct strings chosen by hash.
+characters; two character Markov models, one of random strings and one of
+ordinary identifiers, give each a log-likelihood ratio per character, and those
+above a threshold are added.
+
+The models are bigram counts of labelled samples. Values of base spans are the
+random strings. Ordinary are words of 14 letters or more, and identifiers that
+are put together from words of the texts, dates, times, counters and digests in
+the common ways of naming files, records and variables. Each kind is at most
+``max_samples`` distinct strings chosen by hash. A fifth of each is held out of
+the counts, and the threshold is the larger of the given one and what all but a
+thousandth of the held-out identifiers stay below; where that would miss most
+held-out random strings, the kinds cannot be told apart and no span is added.
 
 Positions are code points. A regular expression that ends each match with the
 pattern and starts at the end of the last one (\\G) yields gap and match in
-order, so running lengths give positions without any Python.
+order, so running lengths give positions without any Python. Running values are
+folded in blocks, so that a text with very many matches stays cheap.
 
 Defined results: a null text is empty and has no spans. Without samples of both
 kinds no span is added. Duplicate rows are scanned each; columns of the input
 that bear an output's name are replaced. An added span never overlaps a base
-span."""
+span. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -35,7 +41,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 MAX_SAMPLES = 5000
-THRESHOLD = 0.1          # nats per character by which the random model must be better; pairs new to both models count 0
+THRESHOLD = 0.1          # nats per character by which the random model must be better, at least
+BLOCK = 64               # elements of an array that are folded together
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -47,17 +54,33 @@ def _matches(text: Column, before: str, value: str) -> Column:
     return F.arrays_zip(gap.alias("g"), head.alias("h"), tail.alias("v"))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once, so that lambdas inside ``body`` do not compute it anew."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state before, item) for each item, the state moving on by step(state, item). A fold that
+    grows one array copies it at every item; here blocks grow one by one and are joined at the end."""
+    def block(state: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("s"), F.array().cast(f"array<{kind}>").alias("out")),
+                           lambda acc, x: F.struct(step(acc["s"], x).alias("s"),
+                                                   F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out")))
+
+    def whole(f: Column) -> Column:
+        begin = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / BLOCK).cast("int")), begin, lambda acc, b: _let(
+            block(acc["s"], F.slice(f, b * BLOCK + 1, BLOCK)),
+            lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out"))))["out"]
+    return _let(items, lambda f: F.when(F.size(f) > 0, F.flatten(whole(f))).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def _place(found: Column) -> Column:
     """Running positions: array of (start, end, value)."""
-    step = lambda acc, m: F.struct(
-        (acc["at"] + F.char_length(m["g"]) + F.char_length(m["h"]) + F.char_length(m["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + F.char_length(m["g"])).alias("start"),
-            (acc["at"] + F.char_length(m["g"]) + F.char_length(m["h"]) + F.char_length(m["v"])).alias("end"),
-            m["v"].alias("value")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"),
-                    F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(found, zero, step)["out"]
+    size = lambda m: F.char_length(m["g"]) + F.char_length(m["h"]) + F.char_length(m["v"])
+    return _running(found, F.lit(0), lambda at, m: at + size(m), lambda at, m: F.struct(
+        (at + F.char_length(m["g"])).alias("start"), (at + size(m)).alias("end"), m["v"].alias("value")),
+        "struct<start:int,end:int,value:string>")
 
 
 def find_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -70,11 +93,12 @@ def find_spans(docs: DataFrame, text_col: str) -> DataFrame:
     assign = F.filter(scan(ASSIGN + VALUE, ASSIGN, VALUE), lambda s: F.char_length(s["value"]) >= 6)
     kinds = [assign, scan(ACCESS, "", ACCESS), scan(HEX, "", HEX)]
     base = F.array_sort(F.concat(*[F.transform(k, _tagged(i)) for i, k in enumerate(kinds)]))
-    mixed = "(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + CANDIDATE
-    out = docs.withColumn("_pw_base", base).withColumn("_pw_cand", scan(mixed, "", CANDIDATE))
-    return out.withColumn("_pw_cand", F.filter("_pw_cand", lambda c: c["value"].rlike("[0-9]")
-                                               & c["value"].rlike("[A-Za-z]") & ~F.exists(
-        F.col("_pw_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    out = docs.withColumn("_pw_base", base).withColumn("_pw_cand", scan(CANDIDATE, "", CANDIDATE))
+    # a run that holds a key or digest overlaps its span; what is left can only meet an assignment
+    plain = F.filter("_pw_cand", lambda c: ~c["value"].rlike(f"{ACCESS}|{HEX}"))
+    assigned = F.filter("_pw_base", lambda b: b["kind"] == 0)
+    return out.withColumn("_pw_cand", F.when(F.size(plain) > 0, _let(assigned, lambda a: F.filter(plain, lambda c: ~F.exists(
+        a, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))).otherwise(plain))
 
 
 def _tagged(kind: int):
@@ -93,6 +117,22 @@ def _bigrams(samples: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.a, r.b): r.n for r in rows}
 
 
+def identifiers(words: Column, number: Column) -> Column:
+    """Ordinary identifiers of a text: its words and a number in the usual forms of names."""
+    w = lambda k: F.get(words, F.pmod(F.shiftright(number, k), F.size(words)).cast("int"))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (number % 9490).cast("int"))
+    date, dashed = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM-dd")
+    time = F.concat(*[F.lpad(((F.shiftright(number, k)) % m).cast("string"), 2, "0") for k, m in ((3, 24), (7, 60), (11, 60))])
+    count = F.lpad((number % 1_000_000).cast("string"), 6, "0")
+    md5 = F.md5(number.cast("string").cast("binary"))
+    uuid = F.concat_ws("-", *[F.substring(md5, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    line = lambda *parts: F.concat_ws("_", *parts)
+    return F.array(line(F.upper(F.substring(w(0), 1, 3)), date, time), line(w(1), date, F.concat(F.lit("v"), (number % 10).cast("string"))),
+                   F.concat(date, F.lit("T"), time, F.lit("Z")), line(w(2), w(5), count), F.concat_ws("-", w(3), w(6), dashed),
+                   F.concat(w(4), F.initcap(w(7)), F.initcap(w(8))), F.concat_ws("/", w(2), w(9), line(w(1), count)),
+                   line(F.upper(w(0)), F.upper(w(6))), uuid)
+
+
 def train(random: DataFrame, ordinary: DataFrame) -> list[float] | None:
     """Log-likelihood ratio of each character after each, smoothed; None if a
     sample is empty. Samples have a column ``value``."""
@@ -121,6 +161,21 @@ def _ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(codes, zero, step)["sum"] / F.greatest(F.char_length(value) - 1, F.lit(1))
 
 
+def fit(random: DataFrame, ordinary: DataFrame) -> tuple[list[float] | None, float]:
+    """The model of four fifths of the samples, and the threshold from the others."""
+    random, ordinary = stage(random, "secret-samples"), stage(ordinary, "secret-samples")
+    held = F.pmod(F.xxhash64("value", F.lit("held out")), F.lit(5)) == 0
+    model = train(random.filter(~held), ordinary.filter(~held))
+    if model is None:
+        return None, 0.0
+    score = lambda rows, q: rows.filter(held & (F.char_length("value") >= 16)).agg(
+        F.percentile(_ratio(F.col("value"), model), q)).first()[0]       # of at most max_samples strings
+    limit, half = score(ordinary, 0.999), score(random, 0.5)
+    if limit is not None and half is not None and half < limit:
+        return None, 0.0
+    return model, max(0.0, limit or 0.0)
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                  max_samples: int = MAX_SAMPLES, model: list[float] | None = None, keep_text: bool = False,
                  others: list[str] | None = None) -> DataFrame:
@@ -136,9 +191,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                                F.lit("[A-Za-z]{14,}"), F.lit(0)))
                          .alias("_pw_words")), "secret-spans")
     if model is None:
-        bounded = lambda values: (seen.select(F.explode(values).alias("value")).distinct()
+        bounded = lambda values: (values.filter("value <> ''").distinct()
                                   .orderBy(F.xxhash64("value"), "value").limit(max_samples))
-        model = train(bounded(F.col("_pw_base.value")), bounded(F.col("_pw_words")))
+        named = (rows.select("text").filter("text <> ''").orderBy(F.xxhash64("text"), "text").limit(max_samples // 4)
+                 .select(F.regexp_extract_all("text", F.lit("\\b[a-z]{3,10}\\b"), F.lit(0)).alias("w"), F.crc32("text").alias("n")))
+        made = named.filter(F.size("w") > 7).select(F.explode(identifiers(F.col("w"), F.col("n"))).alias("value"))
+        words = bounded(seen.select(F.explode("_pw_words").alias("value")))
+        model, limit = fit(bounded(seen.select(F.explode("_pw_base.value").alias("value"))), bounded(words.union(bounded(made))))
+        threshold = max(threshold, limit)
     empty = F.array().cast(SPAN)
     shape = lambda s, k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("kind"))
     added = empty if model is None else F.transform(
@@ -162,13 +222,10 @@ def _by_start_then_kind(a: Column, b: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """Text with every covered run of characters replaced by the mask; spans sorted by start."""
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        .otherwise(acc["out"]).alias("out"))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    pieces = _running(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(
+        s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))).otherwise(""), "string")
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.char_length(text)))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]",
