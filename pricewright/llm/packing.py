@@ -49,19 +49,34 @@ def parted(core: str) -> bool:
 
 
 class Kept(dict):
-    """The ids of words as ``make`` finds them, each made once; emptied when it is full."""
+    """The ids of words as ``make`` finds them. A word moves here when it is met for the second
+    time; until then it waits among the latest, which are forgotten when they are too many. So the
+    many words that occur once displace no frequent one. A full table that no longer helps, as so
+    many words are made again, starts anew."""
 
     def __init__(self, make, size: int):
         super().__init__({"": b""})
         self.make, self.size = make, size
+        self.latest: dict[str, bytes] = {}
+        self.missed = 0
 
     def __missing__(self, w: str) -> bytes:
-        ids = self.make(w)
-        if len(w) <= LONG_WORD:
-            if len(self) >= self.size:
-                self.clear()
-                self[""] = b""
-            self[w] = ids
+        ids = self.latest.pop(w, None)
+        if ids is None:
+            ids = self.make(w)
+            if len(w) <= LONG_WORD:
+                if len(self.latest) >= self.size // 2:
+                    self.latest.clear()
+                self.latest[w] = ids
+            return ids
+        if len(self) >= self.size:
+            self.missed += 1
+            if self.missed < self.size:
+                self.latest[w] = ids
+                return ids
+            self.clear()
+            self.missed, self[""] = 0, b""
+        self[w] = ids
         return ids
 
 
@@ -97,7 +112,7 @@ class WordIds:
     def _word(self, w: str) -> bytes:
         core = w.rstrip(".,;:!?")
         if len(core) < len(w) and core and parted(core):
-            return self.cores[core] + self.cores[w[len(core):]]
+            return (self.known.get(core) or self.cores[core]) + self.cores[w[len(core):]]
         return self._core(w)
 
     def _core(self, w: str) -> bytes:
