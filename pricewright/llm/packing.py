@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 from unicodedata import normalize
 
 import numpy as np
@@ -84,13 +86,14 @@ class WordIds:
     """Token ids of texts by a vocabulary that drops white space and letter case.
 
     A text is split at blanks and line feeds; the ids of each distinct word are
-    kept in a table of bounded size. A new word is its core and the marks of
-    punctuation behind it, which the vocabulary's pattern always parts from a
-    letter or digit (but not from the combining mark that some letters end in
-    once they are normalised and in lower case); cores are kept too. A core of Latin letters
+    kept in a table of bounded size. A new word is the marks before it, its core
+    and the marks behind it. The vocabulary's pattern takes a run of marks as one
+    unit and parts it from a letter or digit, but not from the combining mark that
+    some letters end in once they are normalised and in lower case, nor a lone
+    apostrophe from letters behind it. Cores are kept too. A core of Latin letters
     alone is one unit of the pattern and goes straight to the library's model in
-    lower case, as the library's own steps before it would hand it over; all
-    others go through those steps."""
+    lower case, as the library's own steps before it would hand it over, digits are
+    units one by one; all others go through those steps."""
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
@@ -101,7 +104,8 @@ class WordIds:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tok.model
         # the model reads bytes as printable characters
-        self.symbols = {b: c for b, c in enumerate(byte_symbols())}
+        self.symbols = "".join(byte_symbols())
+        self.digits = {c: self._core(c) for c in "0123456789"}
         self.known = Kept(self._word, CACHE_WORDS)
         self.cores = Kept(self._core, CACHE_CORES)
 
@@ -110,12 +114,19 @@ class WordIds:
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
     def _word(self, w: str) -> bytes:
-        core = w.rstrip(".,;:!?")
-        if len(core) < len(w) and core and parted(core):
-            return (self.known.get(core) or self.cores[core]) + self.cores[w[len(core):]]
+        core = w.rstrip(punctuation)
+        if len(core) < len(w):
+            if not core or not parted(core):
+                return self._core(w)
+            return self.known[core] + self.cores[w[len(core):]]
+        core = w.lstrip(punctuation)
+        if len(core) < len(w) and core[0].isalnum() and w[:len(w) - len(core)] != "'":
+            return self.cores[w[:len(w) - len(core)]] + self._core(core)
         return self._core(w)
 
     def _core(self, w: str) -> bytes:
+        if len(w) > 1 and w.isascii() and w.isdigit():
+            return b"".join(map(self.digits.__getitem__, w))
         return array(self.code, self._encode(w)).tobytes()
 
     def _encode(self, w: str) -> list[int]:
@@ -123,7 +134,7 @@ class WordIds:
             if w.isascii():
                 return [t.id for t in self.model.tokenize(w.lower())]
             if max(w) < "\u0250" and "\u0130" not in w and (low := w.lower()).isalpha():
-                return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.symbols))]
+                return [t.id for t in self.model.tokenize(charmap_decode(low.encode(), "strict", self.symbols)[0])]
         return self.tok.encode(w, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:

@@ -339,3 +339,11 @@ def test_dense_cell_that_cannot_be_cut(spark, monkeypatch):
     links = (u @ u.T >= 0.93).sum(1) - 1
     got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
     assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.97 * links.sum()
+
+
+def test_word_ids_of_random_words():
+    enc, tok, rng = packing.WordIds(WORDS), Tokenizer.from_file(WORDS), random.Random(1)
+    kinds = ["abcsStTdmlrve", "'.,;:!?\"()-_&%#$*`’“<>=/", "'.,;:!?", "0123456789²½٣", "éüñßİıǅक़ऀ̸́漢字ŉÅΣςﬁͅ"]
+    words = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    want = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.texts(words)] == want
