@@ -319,7 +319,7 @@ def resume_pending(spark, d):
 def page_prefix(spark, d):
     from pricewright.operators.crawl import page_prefix as pp
     from pricewright.sources.pages import crawl_pages
-    return pp(crawl_pages(spark, d)).select("page_id", "category_slug", "page_no", "status", "n_cards")
+    return pp(crawl_pages(spark, d), max_pages=None).select("page_id", "category_slug", "page_no", "status", "n_cards")
 
 
 @query
