@@ -140,3 +140,16 @@ def test_dedupe_moves_narrow_rows(spark):
 def test_queries_cover_whole_texts(spark):
     assert set(R.REGISTRY["strip_fence"](spark, SMALL).columns) == {"conv_id", "turn", "text"}
     assert "tokens" in R.REGISTRY["tokens"](spark, SMALL).columns and ORD_COLS
+
+
+def test_details_are_never_broadcast(spark):
+    """Also where the planner takes them for small, as it does with well compressed files."""
+    rows = spark.range(10).select(F.concat(F.lit("n"), "id").alias("part_name"), F.concat(F.lit("u"), "id").alias("product_url"),
+                                  F.lit(0.0).alias("price_pkr"), F.lit(0.0).alias("price_original_pkr"),
+                                  F.lit(True).alias("available"), F.lit("").alias("description"))
+    details = spark.range(10).select(
+        F.concat(F.lit("u"), "id").alias("product_url"), F.lit(200).alias("status"), F.lit(5.0).alias("price"),
+        F.lit(0.0).alias("original_price"), F.lit(True).alias("available"), F.lit("").alias("description"))
+    out = RP.repair_prices(rows, details)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("fixed").count() == 10
