@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from pricewright.llm._common import small_batches, table, without
 LEAST = 12           # words in a run, at least
 GROUP = 1 << 16      # words that share a catcher; a longer document has its own
 STEP = 1 << 16       # words of one append
+WORK = 1 << 21       # bytes of text whose words are held at once
 ARROW_RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
@@ -183,8 +185,21 @@ def collapse(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()])
 
 
-def _runs_of(batches):
+def _slices(batches):
+    """The batches cut at WORK bytes of text, as the words of a slice are held as objects; a longer
+    text is a slice of its own."""
     for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + WORK, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _runs_of(batches):
+    for b in _slices(batches):
         numbers: dict[bytes, int] = {}
         texts = [(t or b"").split() for t in b.column(0).cast(pa.binary()).to_pylist()]
         coded = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t), np.int64, len(t)) for t in texts]

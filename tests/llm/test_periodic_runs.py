@@ -104,3 +104,17 @@ def test_query(spark, tmp_path):
     out = P.periodic_runs(df)
     assert out.columns == ["doc_id", "text", "start", "runs", "collapsed"] and out.count() == len(rows)
     assert not P.periodic_runs(df.limit(0)).collect()
+
+
+def test_long_texts_are_taken_in_slices():
+    """What a task holds at once does not grow with the texts of a batch."""
+    import pyarrow as pa
+
+    from pricewright.llm.periodic_runs import WORK, _runs_of, _slices
+    texts = ["a b c " * 2000, None, "", "x " * WORK, "y z " * 100] + ["w%d " % i * 40 for i in range(30)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["t", "id"])
+    parts = list(_slices([b, b.slice(0, 0)]))
+    assert sum((p.column(1).to_pylist() for p in parts), []) == list(range(len(texts)))
+    assert len(parts) > 1 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= WORK for p in parts)
+    alone = [r for i in range(len(texts)) for o in _runs_of([b.slice(i, 1)]) for r in o.to_pylist()]
+    assert [r for o in _runs_of([b]) for r in o.to_pylist()] == alone
