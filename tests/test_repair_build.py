@@ -153,3 +153,55 @@ def test_details_are_never_broadcast(spark):
     out = RP.repair_prices(rows, details)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("fixed").count() == 10
+
+
+def logical(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from pricewright.session import ENGINE_CONF, tune
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        B.cleaned(spark, SMALL)
+        assert spark.conf.get(limit) == ENGINE_CONF[limit] == "8000"
+        spark.conf.set(limit, "65535")              # the session's own wish
+        assert tune(spark).conf.get(limit) == "65535"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
+def test_dedupe_makes_key_and_score_once(spark, monkeypatch):
+    from pricewright.operators import dedupe as DD
+    rows = spark.createDataFrame([(" U1", "a", 1.0, 0), ("u1 ", "b", 0.0, 1), ("", " N ", 0.0, 2), (None, "n", 2.0, 3),
+                                  ("", " ", 3.0, 4), (None, None, 4.0, 5)],
+                                 "product_url string, part_name string, price_pkr double, ord long")
+    kept = DD.dedupe_richest(rows).orderBy("ord").select("ord", "part_name").collect()
+    assert [tuple(r) for r in kept] == [(0, "a"), (2, "n")]
+    assert DD.dedupe_priced(rows).count() == DD.dedupe_priced(rows, stored=True).count() == 2
+    monkeypatch.setattr(DD, "materialize", lambda df: df)
+    score = DD.richness_score(rows, exclude=("ord",))
+    assert logical(DD._keyed(rows, False, "ord", score).select("_k1", "_k2", "_score", "_values")).count("lower(") <= 6
+
+
+def test_steps_read_twice_are_stored_once(spark, monkeypatch):
+    """Alternatives, batches and scoring read what the dedupe or the cleaning gives more than once."""
+    from pricewright.plans import score as S
+    for df in (B.final(spark, SMALL), R._batched(spark, SMALL)):
+        assert "l_returnflag" not in logical(df)
+    seen = []
+    monkeypatch.setattr(R, "_saved_model", lambda *a: "nowhere")
+    monkeypatch.setattr(S, "score_saved", lambda requests, path: (seen.append(requests) or requests.select(
+        "*", *[F.lit(0.0).alias(c) for c in ("predicted_price_pkr", "confidence_range_low", "confidence_range_high")],
+        F.lit("PKR").alias("currency"), F.lit("m").alias("model_name")), None))
+    R.REGISTRY["score_requests"](spark, SMALL)
+    assert "Join" not in logical(seen[0]) and seen[0].count() > 0
+
+
+@pytest.mark.parametrize("v", ["", " ", "a", " a", "a ", "\ta", "a　", "é", "é b", "\x1ca b\x1f", "!", "~", "a\n b\n", "\x00", "\x7fa"])
+def test_trim_needs_no_pattern(spark, v):
+    from pricewright.functions import ws_trim
+    df = spark.createDataFrame([(v,)], "s string").select(ws_trim("s").alias("t"))
+    assert df.first().t == v.strip() and "RLIKE" not in logical(df)
