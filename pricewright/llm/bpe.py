@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +38,11 @@ from pricewright.llm._common import small_batches, table
 
 # Fixed value: the piece pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same pieces of a text of ASCII characters only, for the faster engine.
+ASCII_PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+                r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 BLOCK = 4096            # bytes added to the buffer of a long piece at a time
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000     # some 300 MB
 NONE = 1 << 60          # rank of a pair that does not merge
 LONG_PIECE = 48         # longer pieces are not kept
 TEXT_PART = 1 << 20     # characters split into pieces at a time
@@ -87,6 +91,22 @@ class ByteToText:
         return n
 
 
+class _Kept(dict):
+    """Pieces met before; one that is missing is made, and kept if it is short."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> tuple:
+        out = self.make(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Transducer:
     def __init__(self, vocab_path: str, special: bool = True):
         with open(vocab_path, encoding="utf-8") as f:
@@ -99,35 +119,40 @@ class Transducer:
         self.pairs = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in reversed(list(enumerate(merges)))}
         self.made = [self.vocab[a + b] for a, b in merges]
         self.single = [self.vocab[bytes([b])] for b in range(256)]
+        self.first = [self.pairs.get(a << 20 | b, NONE) for a in self.single for b in self.single]
         self.lookahead = lookahead(merges)
         self.bytes_of = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile(PIECES)
+        self.split_ascii = re.compile(ASCII_PIECES)
         self.gap = regex.compile(r"(?<=\p{L}) (?=\p{L})")
         found = sorted(self.special, key=len, reverse=True) if special else []
         self.specials = regex.compile("|".join(map(regex.escape, found))) if found else None
-        self.kept: dict[str, tuple] = {}
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.kept = _Kept(self._piece)
 
     # -- tokens of one piece
     def merge(self, data: bytes) -> list[int]:
         """Ids after all merges of a byte string, by rank, leftmost first among equals."""
-        get, made = self.pairs.get, self.made
-        ids = list(map(self.single.__getitem__, data))
-        ranks = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
-        if len(ids) > 64:
+        get, made, single, first = self.pairs.get, self.made, self.single, self.first
+        ids = [single[b] for b in data]
+        ranks = [first[a << 8 | b] for a, b in zip(data, data[1:])]
+        n = len(ranks)
+        if n >= 64:
             return self._merge_long(ids, ranks)
-        while ranks:
+        while n:
             r = min(ranks)
             if r == NONE:
                 break
             i = ranks.index(r)
-            ids[i:i + 2] = [made[r]]
-            del ranks[i]
+            t = ids[i] = made[r]
+            del ids[i + 1], ranks[i]
+            n -= 1
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], NONE)
+                ranks[i - 1] = get(ids[i - 1] << 20 | t, NONE)
+            if i < n:
+                ranks[i] = get(t << 20 | ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
@@ -172,15 +197,11 @@ class Transducer:
             yield tokens[:k]
             buf = buf[end:]
 
-    def _piece(self, piece: str) -> tuple:
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        """Ids joined by commas and their bytes."""
         data = piece.encode()
         ids = self.merge(data) if len(data) <= BLOCK else [i for part in self.stream(data) for i in part]
-        out = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
-        if len(piece) <= LONG_PIECE:
-            if len(self.kept) >= CACHE_PIECES:
-                self.kept.clear()
-            self.kept[piece] = out
-        return out
+        return ",".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
 
     # -- whole texts
     def _parts(self, text: str) -> Iterator[str]:
@@ -192,23 +213,19 @@ class Transducer:
         yield text[at:]
 
     def pieces(self, text: str) -> Iterator[list[tuple]]:
-        """(ids joined by commas, number of ids, their bytes) of successive pieces."""
+        """(ids joined by commas, their bytes) of successive pieces."""
         at = 0
         marks = [(m.start(), m.end(), m.group()) for m in self.specials.finditer(text)] if self.specials else []
         for lo, hi, mark in [*marks, (len(text), len(text), None)]:
             for part in self._parts(text[at:lo] if at or lo < len(text) else text):
-                kept = self.kept
-                out = []
-                for p in self.split.findall(part):
-                    e = kept.get(p)
-                    out.append(e if e is not None else self._piece(p))
-                yield out
+                split = self.split_ascii if part.isascii() else self.split
+                yield list(map(self.kept.__getitem__, split.findall(part)))
             if mark is not None:
-                yield [(str(self.special[mark]), 1, mark.encode())]
+                yield [(str(self.special[mark]), mark.encode())]
             at = hi
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self.pieces(text) for e in part if e[1] for i in e[0].split(",")]
+        return [int(i) for part in self.pieces(text) for e in part if e[0] for i in e[0].split(",")]
 
     def decode(self, ids) -> str:
         state, out = ByteToText(), []
@@ -221,11 +238,11 @@ class Transducer:
         ids, shown = hashlib.sha256(), hashlib.sha256()
         for part in self.pieces(text):
             if part:
-                n += sum([e[1] for e in part])
                 joined = ",".join([e[0] for e in part])
+                n += joined.count(",") + 1
                 ids.update(joined.encode() if first else b"," + joined.encode())
                 first = False
-                shown.update(state.feed(b"".join([e[2] for e in part])).encode())
+                shown.update(state.feed(b"".join([e[1] for e in part])).encode())
         shown.update(state.feed(b"", last=True).encode())
         return n, ids.hexdigest(), shown.hexdigest()
 

@@ -130,6 +130,19 @@ def test_bpe(docs, rows):
     assert back == {i: t or "" for i, t in rows}
 
 
+def test_bpe_ascii_pieces_and_kept_pieces(monkeypatch):
+    t, rng = bpe.Transducer(BYTES), random.Random(4)
+    for k in range(3000):
+        text = "".join(rng.choice(" \t\n\x0b\x1c\x1f\x85'stremvld ab1._") if k % 2 else chr(rng.randrange(128))
+                       for _ in range(rng.randrange(40)))
+        if text.isascii():
+            assert t.split_ascii.findall(text) == t.split.findall(text), repr(text)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    lib, text = Tokenizer.from_file(BYTES), " ".join(f"word{k % 7}x{'y' * (k % 60)}" for k in range(200))
+    assert t.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert len(t.kept) <= 5 and max(map(len, t.kept)) <= bpe.LONG_PIECE
+
+
 def test_bpe_long_piece_and_state_machine():
     t, lib = bpe.Transducer(BYTES), Tokenizer.from_file(BYTES)
     rng = random.Random(2)
