@@ -1,4 +1,7 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by alternating large and small stars.
+
+Links are first reduced inside their tasks. What is left is dealt over one task
+per PER_TASK links; links that fit one task are done then, without any round."""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pricewright.llm._common import join_hot, stage
 
+PER_TASK = 200_000      # links of one task, two numbers each
+
 
 def _forest(batches):
     """The links of one task, reduced to one per node: node and least node it reaches here."""
@@ -33,10 +38,13 @@ def _forest(batches):
             [pa.array(part, pa.int64()), pa.array([find(n) for n in part], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, per_task: int | None = None) -> DataFrame:
     """(id, component) of every id in links (a, b); component is the least id reached."""
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    now = stage(links.mapInArrow(_forest, "a long, b long").distinct(), "links")
+    now = stage(links.mapInArrow(_forest, "a long, b long"), "links")
+    if now.count() <= (PER_TASK if per_task is None else per_task):
+        return _named(stage(now.coalesce(1).mapInArrow(_forest, "a long, b long"), "links"))
+    now = stage(now.distinct(), "links")
     mark = None
     for _ in range(max_rounds):
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -54,5 +62,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = stage(small.select("a", F.col("m").alias("b"))
                     .union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
                     "links")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        now.select("b", "b").distinct())
+    return _named(now)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())

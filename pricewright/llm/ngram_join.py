@@ -286,7 +286,7 @@ def _nearest(percent: int):
 
 
 def _link_mixed(groups: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``links`` and what is missing for the components of all documents that
+    """(id, component) by ``links`` and what is missing for the components of all documents that
     share a key. A key's documents are dealt into blocks of about BLOCK, and each
     task compares two blocks, so no task holds a whole large key. A round tries
     the most promising pairs of different components; rounds go on until no
@@ -295,12 +295,13 @@ def _link_mixed(groups: DataFrame, links: DataFrame, nodes: DataFrame, texts: Da
     tried = None
     w = Window.partitionBy("key")
     while True:
-        found = components(links).withColumnRenamed("component", "comp")
+        joined = components(links)
+        found = joined.withColumnRenamed("component", "comp")
         placed = groups.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         mixed = stage(placed.withColumn("least", F.min("comp").over(w)).withColumn("most", F.max("comp").over(w))
                       .filter("least <> most").select("key", "id", "comp"), "ngram-mixed")
         if not mixed.take(1):
-            return links
+            return joined
         # of keys with the same documents one will do
         same = (mixed.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"),
                                          F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("size"))
@@ -316,11 +317,13 @@ def _link_mixed(groups: DataFrame, links: DataFrame, nodes: DataFrame, texts: Da
         new = stage(dealt.groupBy("key", "lo", "hi").cogroup(known.groupBy("key", "lo", "hi"))
                     .applyInArrow(_nearest(percent), schema), "ngram-tried")
         if not new.take(1):
-            return links
+            return joined
         pairs = new.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        links = stage(links.unionByName(verified(pairs, texts, n, percent)), "links")
+        # what is linked already is one link a document to its component
+        links = (joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                 .unionByName(verified(pairs, texts, n, percent)))
         tried = new if tried is None else stage(tried.unionByName(new), "ngram-tried")
 
 
@@ -364,7 +367,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     star = stage(groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
                  "ngram-star")
     first = verified(_bounded(star, nodes, percent), texts, n, percent)
-    joined = components(_link_mixed(groups.select("key", "id"), first, nodes, texts, n, percent))
+    joined = _link_mixed(groups.select("key", "id"), first, nodes, texts, n, percent)
     named = (copy_of.join(joined, copy_of.node == joined.id, "left")
              .select(copy_of.id.alias("_id"), F.coalesce("component", "node").alias("component"), "node"))
     named = named.groupBy("_id").agg(F.min("component").alias("component"), F.min("node").alias("node"))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricewright.llm import (bpe, exact_dedup, near_vectors, ngram_join, packing, quality, secret_scan, suffix_dedup,
+from pricewright.llm import (bpe, exact_dedup, graph, near_vectors, ngram_join, packing, quality, secret_scan, suffix_dedup,
                              toxicity, warc)
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -130,6 +130,30 @@ def test_bpe(docs, rows):
     assert back == {i: t or "" for i, t in rows}
 
 
+@pytest.mark.parametrize("per_task", [None, 0])
+def test_components_in_one_task_and_by_rounds(spark, per_task):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
+    least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = graph.components(spark.createDataFrame(links, "a long, b long").repartition(7), per_task=per_task)
+    assert sorted(map(tuple, found.collect())) == sorted(least.items())
+
+
+def test_ngram_join_finds_components_once_when_nothing_is_mixed(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ngram_join, "components", lambda links: asked.append(1) or graph.components(links))
+    words = [f"w{k}" for k in range(80)]
+    near = words[:79] + ["other"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "one two three four")],
+                                 "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs, n=3, percent=90).collect()}
+    assert out == {1: 1, 2: 1, 3: 3} and len(asked) == 1
+
+
 def test_bpe_ascii_pieces_and_kept_pieces(monkeypatch):
     t, rng = bpe.Transducer(BYTES), random.Random(4)
     for k in range(3000):
