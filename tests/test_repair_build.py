@@ -205,3 +205,27 @@ def test_trim_needs_no_pattern(spark, v):
     from pricewright.functions import ws_trim
     df = spark.createDataFrame([(v,)], "s string").select(ws_trim("s").alias("t"))
     assert df.first().t == v.strip() and "RLIKE" not in logical(df)
+
+
+def test_wide_rows_of_a_dedupe_meet_their_winners_unsorted(spark):
+    """The winners go into a hash table when their measured partitions are small."""
+    from pricewright.operators.dedupe import dedupe_richest
+    from pricewright.session import tune
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before, cast = spark.conf.get(key), "spark.sql.autoBroadcastJoinThreshold"
+    broadcast = spark.conf.get(cast)
+    spark.conf.unset(key)
+    try:
+        assert tune(spark).conf.get(key) == "64MB"
+        spark.conf.set(cast, "-1")
+        rows = spark.range(400).select(F.struct("id").alias("ord"), (F.col("id") % 50).cast("string").alias("product_url"),
+                                       F.lit("n").alias("part_name"))
+        out = dedupe_richest(rows)
+        assert out.count() == 50
+        final = dedupe_richest(rows)
+        final.collect()
+        plan = final._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan.split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set(cast, broadcast)
