@@ -150,3 +150,27 @@ def test_presets_compared_saved_and_served(spark, frame, tmp_path, monkeypatch):
     base = S.example_parts(spark).limit(1)
     names = base.withColumn("part_name", F.explode(F.array(*[F.lit(w) for w in words if " " not in w][:40])))
     assert S.score_saved(names, path)[0].select("predicted_price_pkr").distinct().count() > 1
+
+
+@pytest.mark.parametrize("name, size", [("fit_forest", {"numTrees": 500, "maxDepth": 25, "minInstancesPerNode": 2})])
+def test_registered_fits_have_their_whole_size(spark, monkeypatch, name, size):
+    made = []
+
+    class Stopped(Exception):
+        pass
+
+    class Learner:
+        def __init__(self, real):
+            made.append({k: real.getOrDefault(k) for k in size})
+
+        def fit(self, data):
+            raise Stopped
+
+    real = T.estimator
+    monkeypatch.setattr(T, "estimator", lambda *a, **b: Learner(real(*a, **b)))
+    rows = [("train" if i % 5 else "test", 10.0 + i, f"red lamp {i % 3}", *[float(i % 7)] * len(T.BASE_INPUTS)) for i in range(20)]
+    frame = spark.createDataFrame(rows, ["split", "price_pkr", "part_name", *T.BASE_INPUTS])
+    monkeypatch.setattr(R, "_ml_frame", lambda *a: (frame, None))
+    with pytest.raises(Stopped):
+        R.REGISTRY[name](spark, SMALL)
+    assert made == [size]
