@@ -152,7 +152,9 @@ def test_presets_compared_saved_and_served(spark, frame, tmp_path, monkeypatch):
     assert S.score_saved(names, path)[0].select("predicted_price_pkr").distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, size", [("fit_forest", {"numTrees": 500, "maxDepth": 25, "minInstancesPerNode": 2})])
+@pytest.mark.parametrize("name, size", [("fit_forest", {"numTrees": 500, "maxDepth": 25, "minInstancesPerNode": 2}),
+                                        ("fit_gbt", {"maxIter": 800, "maxDepth": 15, "stepSize": 0.03,
+                                                     "minInstancesPerNode": 3})])
 def test_registered_fits_have_their_whole_size(spark, monkeypatch, name, size):
     made = []
 
