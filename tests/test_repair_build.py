@@ -229,3 +229,43 @@ def test_wide_rows_of_a_dedupe_meet_their_winners_unsorted(spark):
     finally:
         spark.conf.set(key, before)
         spark.conf.set(cast, broadcast)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from pricewright.session import FREED, materialize
+    rows = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = spark.conf.get(FREED, None)
+    files = shuffle_files(spark)
+    assert materialize(rows).count() == 100 and spark.conf.get(FREED, None) == before
+    for _ in range(50):
+        if shuffle_files(spark) <= files + 3:       # those of the count itself
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= files + 3
+
+
+@pytest.mark.parametrize("rule", ["dedupe_richest", "dedupe_priced"])
+def test_only_rows_that_may_win_are_moved(spark, monkeypatch, rule):
+    """A wide row that is no winner is told by its bit before the join; no hash is stored beside it."""
+    from pricewright.operators import dedupe as DD
+    rows = spark.range(4000).select(F.struct("id").alias("ord"), (F.col("id") % 50).cast("string").alias("product_url"),
+                                    F.lit("n").alias("part_name"), (F.col("id") + 1.0).alias("price_pkr"))
+    stored, moved = [], []
+    monkeypatch.setattr(DD, "materialize", lambda df, real=DD.materialize: stored.append(df.columns) or real(df))
+    monkeypatch.setattr(DD, "_may_win", lambda *a, real=DD._may_win: moved.append(real(*a)) or moved[-1])
+    out = getattr(DD, rule)(rows)
+    assert sorted(r.ord.id for r in out.collect()) == list(range(50))
+    assert not {"_k1", "_k2", "_values"} & set(stored[0])
+    assert 50 <= moved[0].count() <= 1000 and moved[0].filter("ord.id < 50").count() == 50
+
+
+def test_years_are_shuffled_not_dates(spark):
+    p = logical(B.cleaned(spark, SMALL))
+    assert "year(" in p.split("RepartitionByExpression")[1] and "l_shipdate" not in p.split("RepartitionByExpression")[0]
