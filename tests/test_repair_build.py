@@ -269,3 +269,19 @@ def test_only_rows_that_may_win_are_moved(spark, monkeypatch, rule):
 def test_years_are_shuffled_not_dates(spark):
     p = logical(B.cleaned(spark, SMALL))
     assert "year(" in p.split("RepartitionByExpression")[1] and "l_shipdate" not in p.split("RepartitionByExpression")[0]
+
+
+def test_rows_that_are_not_visited_pass_beside_the_join(spark):
+    """A stored table is repaired as any other, but only the rows to be visited are joined."""
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else 0.0 if i % 4 == 1 else 5.0, "" if i % 10 == 0 else f"u{i % 60}",
+                                   i % 3 > 0, "", 0.0) for i in range(300)] + [(300, None, None, None, None, None)],
+                                 "ord int, price_pkr double, product_url string, available boolean, description string, "
+                                 "price_original_pkr double").repartition(3)
+    details = spark.createDataFrame([(f"u{i}", 404 if i % 7 == 0 else 200, float(i % 5), 9.0, i % 2 == 0, f"d{i}") for i in range(0, 55)]
+                                    + [("u8", 200, 7.0, 8.0, True, "more")],
+                                    "product_url string, status int, price double, original_price double, available boolean, description string")
+    plain, beside = RP.repair_prices(rows, details), RP.repair_prices(rows, details, stored=True)
+    assert plain.columns == beside.columns and plain.dtypes == beside.dtypes
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, beside.collect()))
+    joined = logical(beside)
+    assert "Union" in joined and "xxhash64" not in joined
