@@ -50,6 +50,8 @@ ROUNDS = 6
 DEGREE = 24
 POOL = 72               # candidate neighbours before pruning
 ALPHA = 1.2
+PRUNED = 512            # nodes pruned at once
+PRODUCT = 2 * CAPACITY  # nodes of a shard up to which a search has all similarities made at once
 BEAM = 12
 REACH = 0.06            # the range expands through vectors this much below the threshold
 SPREAD = 2.0            # standard deviations of a near vector's shift along one direction
@@ -133,18 +135,19 @@ def shards(nodes: DataFrame, threshold: float) -> DataFrame:
 
 # ---- graph
 
-def prune(sims: np.ndarray, near: np.ndarray, node: int, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Robust pruning of candidates ``near`` (most similar first) by squared distance 2 - 2 s."""
-    chosen: list[int] = []
-    alive = np.ones(len(near), bool)
-    to_node = 2 - 2 * sims[node, near]
-    for k in range(len(near)):
-        if not alive[k]:
-            continue
-        chosen.append(int(near[k]))
-        if len(chosen) == degree:
-            break
-        alive &= alpha * alpha * np.maximum(2 - 2 * sims[near[k], near], 0) > to_node
+def prune(sims: np.ndarray, near: np.ndarray, first: int = 0, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Robust pruning by squared distance 2 - 2 s: which of its candidates each node keeps. Row i of
+    ``near`` has those of node ``first`` + i, most similar first. A rank is gone through for all
+    nodes at once."""
+    chosen, alive = np.zeros(near.shape, bool), np.ones(near.shape, bool)
+    to_node = 2 - 2 * np.take_along_axis(sims[first:first + len(near)], near, 1)
+    for k in range(near.shape[1]):
+        i = np.flatnonzero(alive[:, k])
+        chosen[i, k] = True
+        alive[i[chosen[i].sum(1) == degree]] = False        # complete
+        i = i[alive[i, k]]
+        between = sims[near[i, k][:, None], near[i, k + 1:]]
+        alive[i, k + 1:] &= alpha * alpha * np.maximum(2 - 2 * between, 0) > to_node[i, k + 1:]
     return chosen
 
 
@@ -158,11 +161,11 @@ def _build(t: pa.Table) -> pa.Table:
     if pool > 0:
         near = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-        for i in range(len(ids)):
-            for j in prune(sims, near[i], i):
-                out[i].add(j)
-                if len(out[j]) < 2 * DEGREE:
-                    out[j].add(i)       # and back, so that all nodes can be reached
+        kept = np.concatenate([prune(sims, near[lo:lo + PRUNED], lo) for lo in range(0, len(ids), PRUNED)])
+        for i, j in zip((x := np.nonzero(kept))[0].tolist(), near[x].tolist()):
+            out[i].add(j)
+            if len(out[j]) < 2 * DEGREE:
+                out[j].add(i)       # and back, so that all nodes can be reached
     return pa.table({"id": pa.array(ids, pa.int64()),
                      "near": pa.array([ids[sorted(o)].tolist() for o in out], pa.list_(pa.int64()))})
 
@@ -187,8 +190,10 @@ def _search(threshold: float):
         for lo in range(0, len(names), 256):
             hits = _range(v, graph, w[lo:lo + 256], own[lo:lo + 256], threshold - REACH)
             a, b = hits[0] + lo, hits[1]
+            other = at_home[b] & (names[a] != ids[b])
+            a, b = a[other], b[other]
             # verify in double precision
-            ok = at_home[b] & (names[a] != ids[b]) & (np.einsum("ij,ij->i", w[a], v[b]) >= threshold)
+            ok = np.einsum("ij,ij->i", w[a], v[b]) >= threshold
             np.add.at(counts, a[ok], n[b[ok]])
             links += zip((a[ok] + len(ids)).tolist(), b[ok].tolist())
         every = np.concatenate([ids, names])
@@ -212,8 +217,24 @@ def _search(threshold: float):
 
 def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """(row of q, node) pairs reached with similarity of at least ``floor``; ``own``
-    is the place of a queried vector among the nodes."""
+    is the place of a queried vector among the nodes. Of a usual shard all similarities are
+    made in one product, which takes less time than to gather the vectors of those asked for."""
     size, rows = len(v), np.arange(len(q))
+    sims = q @ v.T if size <= PRODUCT else None
+    sim = lambda r, c: np.einsum("ij,ij->i", q[r], v[c]) if sims is None else sims[r, c]
+
+    def beside(r, c, seen):
+        """The neighbours of nodes c that are new to the queries r."""
+        if sims is None:
+            rr, nn = np.repeat(r, graph.shape[1]), graph[c].ravel()
+            rr, nn = np.divmod(np.unique((rr * size + nn)[nn >= 0]), size)
+            return rr[new := ~seen[rr, nn]], nn[new]
+        new = np.zeros((len(q), size + 1), bool)        # the last column takes the ends of short lists
+        new[r[:, None], graph[c]] = True
+        new = new[:, :size]
+        new &= ~seen
+        return np.divmod(np.flatnonzero(new), size)
+
     medoid = int((v @ v.mean(0)).argmax())
     seen = np.zeros((len(q), size), bool)
     # greedy: expand the BEAM best nodes of each query until they stay the same
@@ -226,16 +247,11 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, flo
             break
         r, c = np.nonzero(open_)
         done[r, beam[r, c]] = True
-        nodes = graph[beam[r, c]]
-        rr, nn = np.repeat(r, nodes.shape[1]), nodes.ravel()
-        keep = nn >= 0
-        rr, nn = rr[keep], nn[keep]
-        code = np.unique(rr * size + nn)
-        rr, nn = code // size, code % size
-        new = ~seen[rr, nn]
-        rr, nn = rr[new], nn[new]
+        rr, nn = beside(r, beam[r, c], seen)
         seen[rr, nn] = True
-        s = np.einsum("ij,ij->i", q[rr], v[nn])
+        s = sim(rr, nn)
+        better = s >= score[rr, -1] if beam.shape[1] == BEAM else np.ones(len(rr), bool)   # others leave at once
+        rr, nn, s = rr[better], nn[better], s[better]
         best = np.full((len(q), BEAM), -1)
         top = np.full((len(q), BEAM), -3.0)
         rr, nn = np.concatenate([np.repeat(rows, beam.shape[1]), rr]), np.concatenate([beam.ravel(), nn])
@@ -254,20 +270,14 @@ def _range(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, flo
         beam, score = best, top
     # the range: from what the search found near, and from the node itself
     found = np.zeros((len(q), size), bool)
-    s = np.einsum("ijk,ik->ij", v[beam], q)
-    r, c = np.nonzero(s >= floor)
-    found[r, beam[r, c]] = True
+    r, c = np.divmod(np.arange(beam.size), beam.shape[1])
+    near = sim(r, beam[r, c]) >= floor
+    found[r[near], beam[r[near], c[near]]] = True
     found[rows, own] = True
     r, c = np.nonzero(found)
     while len(r):
-        nodes = graph[c]
-        rr, nn = np.repeat(r, nodes.shape[1]), nodes.ravel()
-        keep = nn >= 0
-        code = np.unique(rr[keep] * size + nn[keep])
-        rr, nn = code // size, code % size
-        new = ~found[rr, nn]
-        rr, nn = rr[new], nn[new]
-        near = np.einsum("ij,ij->i", q[rr], v[nn]) >= floor
+        rr, nn = beside(r, c, found)
+        near = sim(rr, nn) >= floor
         r, c = rr[near], nn[near]
         found[r, c] = True
     return np.nonzero(found)

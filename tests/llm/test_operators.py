@@ -384,3 +384,41 @@ def test_word_ids_of_random_words():
     words = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
     want = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.texts(words)] == want
+
+
+def test_nodes_are_pruned_at_once_and_searched_by_one_product(monkeypatch):
+    """All nodes of a shard are pruned together, as the literal rule does one by one; a search finds the
+    same whether similarities are made at once or for the nodes asked for."""
+    import numpy as np
+
+    from pricewright.llm import near_vectors as NV
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(8, 12))[rng.integers(0, 8, 300)] + rng.normal(size=(300, 12)) * 0.3
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[3]
+    sims = v @ v.T
+    np.fill_diagonal(sims, -2)
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :40]
+
+    def literal(i, degree):
+        kept = []
+        for j in near[i]:
+            if len(kept) < degree and all(1.44 * max(2 - 2 * sims[k, j], 0) > 2 - 2 * sims[i, j] for k in kept):
+                kept.append(j)
+        return kept
+
+    for degree in (3, 24):
+        kept = np.concatenate([NV.prune(sims, near[lo:lo + 128], lo, degree, 1.2) for lo in range(0, 300, 128)])
+        assert [near[i][kept[i]].tolist() for i in range(300)] == [literal(i, degree) for i in range(300)]
+    lists = [near[i][kept[i]] for i in range(300)]
+    graph = np.full((300, max(map(len, lists))), -1)
+    for i, row in enumerate(lists):
+        graph[i, :len(row)] = row
+    asked = np.arange(0, 300, 3)
+    once = NV._range(v, graph, v[asked], asked, 0.8)
+    monkeypatch.setattr(NV, "PRODUCT", 0)
+    apart = NV._range(v, graph, v[asked], asked, 0.8)
+    assert [x.tolist() for x in once] == [x.tolist() for x in apart]
+    pairs = {(int(asked[a]), int(b)) for a, b in zip(*once)}
+    there = {(i, j) for i in asked.tolist() for j in range(300) if sims[i, j] >= 0.8}
+    assert len(there & pairs) >= 0.98 * len(there) > 100
