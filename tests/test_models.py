@@ -1,6 +1,8 @@
 """Quantiles, lookups, text features, training, saving and scoring."""
 
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -176,3 +178,21 @@ def test_registered_fits_have_their_whole_size(spark, monkeypatch, name, size):
     with pytest.raises(Stopped):
         R.REGISTRY[name](spark, SMALL)
     assert made == [size]
+
+
+def test_weights_are_shuffled_once_and_rows_of_one_id_are_one_document(spark):
+    names = [(1, "red lamp red"), (1, "lamp shade"), (2, "blue lamp"), (None, "red shade"), (None, "red"), (3, "none of it"),
+             (4, None), (5, "")]
+    docs = with_terms(spark.createDataFrame(names, "id int, part_name string"), stop=[])
+    vocab = spark.createDataFrame([("lamp", 0, 1.5), ("red", 1, 2.0), ("red lamp", 2, 3.0), ("shade", 3, 2.5)],
+                                  "term string, index long, idf double")
+    out = weights(docs, vocab, ["id"])
+    want = {}
+    for key, count in {1: {"lamp": 2, "red": 2, "red lamp": 1, "shade": 1}, 2: {"lamp": 1}, None: {"red": 2, "shade": 1}}.items():
+        raw = {r.term: (r["index"], count[r.term] * r.idf) for r in vocab.collect() if r.term in count}
+        norm = math.sqrt(sum(x * x for _, x in raw.values()))
+        want |= {(key, t): (i, round(x / norm, 9)) for t, (i, x) in raw.items()}
+    assert {(r.id, r.term): (r["index"], round(r.weight, 9)) for r in out.collect()} == want and out.count() == len(want)
+    assert out.dtypes == [("id", "int"), ("term", "string"), ("index", "bigint"), ("weight", "double")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan.split("Initial Plan")[-1])) == 1, plan
